@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docfield.llm.common import table
 
@@ -24,3 +25,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docfield.llm.pieces import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docfield.llm.simhash import classes, hexed
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
