@@ -32,3 +32,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docfield.llm.simhash import classes, hexed
 
     return classes(table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docfield.llm.divergence import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
