@@ -39,3 +39,10 @@ def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docfield.llm.divergence import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docfield.llm.phrases import digests
+
+    return digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
