@@ -46,3 +46,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docfield.llm.phrases import digests
 
     return digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docfield.llm.wavelet import read_documents, write_shards
+
+    return read_documents(spark, write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
