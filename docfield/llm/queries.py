@@ -55,3 +55,10 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docfield.llm.wavelet import read_documents, write_shards
 
     return read_documents(spark, write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docfield.llm.pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
