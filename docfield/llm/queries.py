@@ -76,3 +76,39 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docfield.llm.quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docfield.llm.secrets import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docfield.llm.chat import digests
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+ORACLE_SQL["op10_chat"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 17 ELSE 15 + length(role) END AS marks,
+    CASE role WHEN 'user' THEN contains(text, ' [/INST]') WHEN 'assistant' THEN contains(text, '</s>') WHEN 'system' THEN contains(text, chr(10) || '<</SYS>>') ELSE contains(text, ' [/ROLE]') END AS clash,
+    len(regexp_extract_all(text, '[<\[]\\*(/?s>|</?SYS>>|/?INST\]|ROLE |/ROLE\])')) AS escapes
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(marks + length(text)) + CASE WHEN bool_or(clash) THEN sum(escapes) ELSE 0 END)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""

@@ -22,7 +22,7 @@ from docfield.llm.common import Bounded, as_bytes, id_and_text, slices
 from docfield.llm.features import BITS, MASK, crc_of_id, label_sample, mixed, word_hash, words_of
 
 PER_CLASS = 4_000
-PASSES, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 6.0, 0.1
+PASSES, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 6.0, 0.1
 THRESHOLD = 0.7
 CACHE_WORDS = 500_000
 _SALTS = (0, 0x2545F491, 0x7F4A7C15)
