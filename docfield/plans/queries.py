@@ -91,8 +91,8 @@ _head, _rest = _SPLIT.split("REP(", 1)
 _rep, _rest = _rest.split(",\nlines2 AS ", 1)
 _two, _rest = _rest.split("),\nparted", 1)
 _SPLIT = f"{_head}lines2 AS {_two}),\nrep AS ({_rep},\nparted{_rest}"
-_CELLS = "list_filter([trim(' part  ' || l_partkey), CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity::BIGINT::VARCHAR ELSE '' END, l_returnflag], lambda c: c <> '')"
-_TABLE = f"tables AS (SELECT l_orderkey AS doc_id, 2 AS page_num, string_agg(array_to_string({_CELLS}, ' | '), chr(10) ORDER BY l_linenumber, l_partkey) AS table_text FROM lineitem GROUP BY l_orderkey)"
+_CELLS = "list_filter(['part ' || l_partkey, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity::BIGINT::VARCHAR ELSE '' END, l_returnflag], lambda c: c <> '')"
+_TABLE = f"tables AS (SELECT l_orderkey AS doc_id, 2 AS page_num, string_agg(array_to_string({_CELLS}, ' | '), chr(10) ORDER BY l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity::BIGINT::VARCHAR END NULLS FIRST, l_returnflag) AS table_text FROM lineitem GROUP BY l_orderkey)"
 
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +367,7 @@ def validate_date_formats(spark, sf_dir):
     return rows.select("o_orderkey", "shown", fv.date_iso(F.col("shown")).alias("iso"), fv.date_iso(F.col("shown"), strict_iso=True).alias("strict"))
 
 
-@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (2, 5) THEN NULL ELSE {_NUM.format(x='text')} || ';12' END AS numbers, CASE WHEN o_orderkey % 6 IN (2, 5) THEN 'value does not fit its type' END AS value_error FROM ({_MONEY_SQL})")
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (2, 5) THEN NULL ELSE CASE WHEN contains({_NUM.format(x='text')}, '.') THEN TRY_CAST({_NUM.format(x='text')} AS DOUBLE)::VARCHAR ELSE {_NUM.format(x='text')} END || ';12' END AS numbers, CASE WHEN o_orderkey % 6 IN (2, 5) THEN 'value does not fit its type' END AS value_error FROM ({_MONEY_SQL})")
 def validate_arrays(spark, sf_dir):
     rows = _money(spark, sf_dir).select("o_orderkey", F.lit("array[number]").alias("output_type"), F.concat(F.lit('{"found": true, "value": ["'), "text", F.lit('", 12]}')).alias("response_text"))
     out = answers.validated(answers.parsed_responses(rows, F.array().cast("array<string>")))

@@ -13,7 +13,7 @@ RESULT_COLUMNS = ("case_id", "doc_name", "query", "output_type", "expected_found
 
 
 def binary_documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """doc_id (the path), content of files; any file system that Spark reads."""
+    """doc_id (the path), content of files; any file system that Spark reads. Spark lists no file of zero length."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("doc_id"), "content")
 
 
