@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from docfield.plans.queries import QUERIES
 
-HEADLINES = ("line_clean", "repeated_lines", "body_residual_split", "clause_chunks", "sentence_pack_chunks", "bm25_topk", "tfidf_topk", "dense_cosine_topk", "hybrid_topk", "validate_date_formats", "response_parse", "eval_summary", "ctc_decode", "threshold_sweep")
+HEADLINES = ("line_clean", "repeated_lines", "table_text", "sentence_pack_chunks", "bm25_topk", "dense_cosine_topk", "validate_date_formats", "response_parse", "eval_summary", "ctc_decode", "threshold_sweep")
 
 
 def main() -> None:

@@ -34,8 +34,18 @@ HEADING = r"^[A-Z][A-Z0-9 ,&/\-\(\)]+:$"
 MAX_REPEATED, MAX_HINT = 120, 120
 
 
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends; looks at the ends alone."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also inside array functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def line_feeds(text: Column) -> Column:
