@@ -13,6 +13,7 @@ from docfield.functions import features as ff
 from docfield.functions import lines as fl
 from docfield.functions import values as fv
 from docfield.operators import answers, chunks, evaluation, ocr, pages, ranking
+from docfield.operators.store import stored
 from docfield.plans import fixtures as fx
 from docfield.plans import service, sql
 from docfield.sources import files
@@ -215,7 +216,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 asked AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({sql.tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT item_id, doc_id, chunk_idx, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (doc_id, chunk_idx), st GROUP BY item_id, doc_id, chunk_idx) {_TOP}""")
 def bm25_topk(spark, sf_dir):
-    rows = ranking.with_length(text_chunks(_table(spark, sf_dir, "documents"))).withColumn("scope", F.lit(1))
+    rows = stored(ranking.with_length(text_chunks(_table(spark, sf_dir, "documents"))), "chunks").withColumn("scope", F.lit(1))
     return _top(ranking.bm25_scores(rows, _asked(spark, sf_dir), ["scope"], ["doc_id", "chunk_idx"]), "bm25")
 
 
