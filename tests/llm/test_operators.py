@@ -238,6 +238,25 @@ def test_quality_counts(spark, odd, empty, docs):
     assert distance(np.array([1, 0]), np.array([0, 1])) == 1 and distance(np.array([2, 2]), np.array([1, 1])) == 0
 
 
+def prose(docs, lang):
+    """Rows of docs that are prose of a language: many words, no symbols."""
+    return [r for r in docs.where(F.col("lang") == lang).orderBy("doc_id").collect() if len(set(r.text.split())) > 250 and not set(r.text) & set("#*$%&|<>")]
+
+
+def test_word_distance_rejects(spark, docs):
+    from docfield.llm.divergence import COMMON_WORDS, quality_report
+
+    common = {w for words in COMMON_WORDS.values() for w in words.split()}
+    en, de = prose(docs, "en")[:5], prose(docs, "de")[:5]
+    salad = [(200_000 + k, " ".join(w for w in r.text.split() if w.lower().strip(".,;:!?\"()") not in common), "en") for k, r in enumerate(en)]
+    wrong = [(200_100 + k, r.text, "en") for k, r in enumerate(de)] + [(200_200 + k, r.text, "de") for k, r in enumerate(en)]
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(salad + wrong, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in quality_report(rows).collect()}
+    for i, *_ in salad + wrong:
+        assert not got[i].base_failed and got[i].class_distance < 0.2 and not got[i].kept, got[i]
+    assert all(got[r.doc_id].kept for r in en + de if not got[r.doc_id].base_failed)
+
+
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
