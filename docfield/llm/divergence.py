@@ -5,9 +5,13 @@ words). Their Jensen-Shannon distances (square root of the divergence, base 2, 0
 references of the document's language decide, beside a few counted base rules. Under MIN_CHARS or
 MIN_WORDS a histogram says too little, and its distance doesn't count.
 
-References are means over all documents of a language that are long enough, taken in a first pass
-(partial sums, one row for each language, bin and task). A document of no or of an unknown language is held
-against every reference, the nearest of which counts; the same if its language has too few documents.
+References are taken in a first pass, so that neither a source nor the usual junk moves them: documents that fail
+the base rules or hold more than one symbol in ten words are left out, sources fall into GROUPS groups by a hash of their
+names (partial sums, one row for each language, group, bin and task), and a bin's value is the median of the groups' means.
+Where groups are small, they are folded into fewer, each source still in one. It takes junk in half of a language's
+groups to carry the median; a table of one source or without the column has one group, which is the plain mean.
+A document of no or of an unknown language is held against every reference, the nearest of which counts; the same if
+its language has too few documents.
 
 Null text has no words. Languages that hold no reference at all leave only the base rules.
 """
@@ -35,8 +39,8 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 CLASSES = ("vowel", "consonant", "capital", "other letter", "digit", "space", "line break", "stop", "symbol", "other")
 
 WINDOW, MIN_CHARS, MIN_WORDS = 5, 200, 50
-#: A language's own reference holds from so many documents in the corpus.
-REFERENCE_DOCS = 5
+#: A language's own reference holds from so many documents in the corpus; groups are folded until they have GROUP_DOCS in the median.
+REFERENCE_DOCS, GROUPS, GROUP_DOCS = 5, 64, 20
 #: A text without any common word is 0.38 to 0.39 from its reference, one in another language mostly more than 0.40.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.36
 
@@ -130,32 +134,58 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeated_words(words)
 
 
-#: A document's histogram enters the reference in so many equal parts, so that long documents weigh no more than others; whole numbers, so that sums don't depend on their order.
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 10 or 100 * n_repeat_words > 20 * n_words
+
+
+#: A document's histogram enters its group's sum in so many equal parts, so that long documents weigh no more than others; whole numbers, so that sums don't depend on their order.
 PARTS = 1_000_000
 
 
+def is_sound(text: bytes, words: list[bytes]) -> bool:
+    """May a text enter a reference? By fixed rules, whatever else the table holds."""
+    n, _, symbols, _, repeats = base_counts(text)
+    return not base_failed(n, repeats) and 10 * symbols <= len(words)
+
+
+def median_of_groups(groups: np.ndarray) -> np.ndarray | None:
+    """The reference from the groups' sums (a row for each of GROUPS, the last column counts documents); None if documents are too few."""
+    if groups[:, -1].sum() < REFERENCE_DOCS:
+        return None
+    while len(groups) > 1 and np.median(groups[groups[:, -1] > 0, -1]) < GROUP_DOCS:
+        groups = groups[: len(groups) // 2] + groups[len(groups) // 2 :]
+    groups = groups[groups[:, -1] > 0]
+    return np.median(groups[:, :-1] / groups[:, -1:], axis=0)
+
+
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and word histograms of each language: means over all documents long enough. The result is one row for each language and bin."""
+    """Class and word histograms of each language: medians over groups of sources. The result is one row for each language, group and bin."""
     width, rest = len(CLASSES), len(EVERY) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in slices(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            for lang, group, text in zip(batch.column("lang").to_pylist(), batch.column("grp").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                if len(text) < MIN_CHARS:
+                    continue
                 classes, words = class_histogram(text), plain_words(text)
-                if classes.sum() >= MIN_CHARS and len(words) >= MIN_WORDS:
+                if classes.sum() >= MIN_CHARS and len(words) >= MIN_WORDS and is_sound(text, words):
                     counts = bins(words)
-                    own = np.r_[classes * PARTS // classes.sum(), counts * PARTS // counts.sum()]
-                    sums[lang] = sums[lang] + own if lang in sums else own
-        rows = [(lang, n, int(x)) for lang, found in sums.items() for n, x in enumerate(found) if x]
+                    own = np.r_[classes * PARTS // classes.sum(), counts * PARTS // counts.sum(), 1]
+                    key = (lang, group)
+                    sums[key] = sums[key] + own if key in sums else own
+        rows = [(*key, n, int(x)) for key, found in sums.items() for n, x in enumerate(found) if x]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["lang", "grp", "bin", "n"])
 
-    known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isin(*sorted(COMMON_WORDS)))
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    group = F.pmod(F.crc32(source.cast("binary")), F.lit(GROUPS)).cast("int")
+    known = docs.select(F.col("lang").cast("string").alias("lang"), group.alias("grp"), F.col("text").cast("string").alias("text")).where(F.col("lang").isin(*sorted(COMMON_WORDS)))
     found: dict[str, np.ndarray] = {}
-    for r in known.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():  # languages x bins
-        found.setdefault(r.lang, np.zeros(width + rest, np.int64))[r.bin] = r.n
-    return {lang: (x[:width], x[width:]) for lang, x in sorted(found.items()) if x[width:].sum() >= REFERENCE_DOCS * PARTS // 2}
+    for r in known.mapInArrow(run, "lang string, grp int, bin int, n long").groupBy("lang", "grp", "bin").agg(F.sum("n").alias("n")).collect():  # languages x groups x bins
+        found.setdefault(r.lang, np.zeros((GROUPS, width + rest + 1), np.int64))[r.grp, r.bin] = r.n
+    medians = {lang: median_of_groups(x) for lang, x in sorted(found.items())}
+    return {lang: (x[:width], x[width:]) for lang, x in medians.items() if x is not None}
 
 
 def verdict(text: bytes, lang: str | None, refs: dict) -> tuple[float, float]:
@@ -175,7 +205,7 @@ def verdict(text: bytes, lang: str | None, refs: dict) -> tuple[float, float]:
 def _judged(texts: list[bytes], langs: list, refs: dict, max_class: float, max_word: float) -> Iterator[tuple]:
     for text, lang in zip(texts, langs, strict=True):
         n, chars, symbols, lines, repeats = base_counts(text)
-        failed = n < 10 or 100 * repeats > 20 * n
+        failed = base_failed(n, repeats)
         by_class, by_word = verdict(text, lang, refs)
         yield n, chars, symbols, lines, repeats, failed, by_class, by_word, not failed and by_class <= max_class and by_word <= max_word
 

@@ -257,6 +257,22 @@ def test_word_distance_rejects(spark, docs):
     assert all(got[r.doc_id].kept for r in en + de if not got[r.doc_id].base_failed)
 
 
+def test_one_source_moves_no_reference(spark, docs):
+    from docfield.llm.divergence import quality_report
+
+    rows = docs.select("doc_id", "text", "lang", "source")
+    en = prose(docs, "en")
+    marked = lambda text, k: " ".join(w + "#$%&"[i % 4] * 3 if (i + k) % 2 else w for i, w in enumerate(text.split()))
+    capital = lambda text, k: " ".join(w.upper() if (i + k) % 5 else w for i, w in enumerate(text.split()))
+    third = rows.where("lang = 'en'").count() // 2
+    before = {r.doc_id: r for r in quality_report(rows).collect()}
+    for junk, sources in ((marked, ["hot"]), (marked, [f"src{k}" for k in range(20)]), (capital, ["hot"])):
+        more = [(300_000 + k, junk(en[k % len(en)].text, k), "en", sources[k % len(sources)]) for k in range(third)]
+        got = {r.doc_id: r for r in quality_report(rows.union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))).collect()}
+        assert not any(got[i].kept for i, *_ in more)
+        assert [i for i in before if got[i].kept != before[i].kept] == []
+
+
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
