@@ -273,6 +273,17 @@ def test_one_source_moves_no_reference(spark, docs):
         assert [i for i in before if got[i].kept != before[i].kept] == []
 
 
+def test_tables_are_rejected(spark, docs):
+    from docfield.llm.divergence import quality_report
+
+    en = prose(docs, "en")[:10]
+    tables = [(400_000 + k, "\n".join(" | ".join(r.text.split()[i : i + 8]) for i in range(0, len(r.text.split()), 8)), "en", "src1") for k, r in enumerate(en)]
+    rows = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(tables, "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: r for r in quality_report(rows).collect()}
+    assert not any(got[i].kept for i, *_ in tables)
+    assert all(got[r.doc_id].kept for r in en if not got[r.doc_id].base_failed)
+
+
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
