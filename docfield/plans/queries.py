@@ -375,6 +375,17 @@ def validate_arrays(spark, sf_dir):
     return out.select("o_orderkey", F.array_join("normalized", ";").alias("numbers"), "value_error")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ';' || strftime(o_orderdate, '%Y-%m-%d') || ';2024-03-05' END AS dates, CASE WHEN o_orderkey % 5 = 0 THEN 'value does not fit its type' END AS value_error FROM orders")
+def validate_date_arrays(spark, sf_dir):
+    """Lists of dates: inside other text, with the month first, in a usual shape; each fifth list has an item without a date."""
+    free = F.concat(F.lit("signed on the "), F.date_format("o_orderdate", "d"), F.lit("th of "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" in town"))
+    last = F.when(F.col("o_orderkey") % 5 == 0, "no day at all").otherwise("5 March 2024")
+    text = F.concat(F.lit('{"found": true, "value": ["'), free, F.lit('", "'), F.date_format("o_orderdate", "MMM d, yyyy"), F.lit('", "'), last, F.lit('"]}'))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.lit("array[date]").alias("output_type"), text.alias("response_text"))
+    out = answers.validated(answers.parsed_responses(rows, F.array().cast("array<string>")), AS_OF)
+    return out.select("o_orderkey", F.array_join("normalized", ";").alias("dates"), "value_error")
+
+
 @query()
 def nfkc_normalize(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", fv.comparable(F.col("text")).alias("text"))
@@ -409,7 +420,7 @@ def passage_snippets(spark, sf_dir):
 
 def contract_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded = fx.replay(spark, sf_dir)
-    return service.extract(contract_pages(spark, sf_dir), fx.requests(spark, sf_dir, 50), lambda prompts: answers.replayed(prompts, recorded))
+    return service.extract(contract_pages(spark, sf_dir), fx.requests(spark, sf_dir, 50), lambda prompts: answers.replayed(prompts, recorded), as_of=AS_OF)
 
 
 _CODE = "CASE doc_id % 20 WHEN 3 THEN 'LLM_ERROR' WHEN 5 THEN 'SERVICE_ERROR' WHEN 9 THEN CASE doc_id % 4 WHEN 1 THEN 'WEAK_EVIDENCE' END WHEN 11 THEN 'SERVICE_ERROR' WHEN 13 THEN 'SERVICE_ERROR' WHEN 15 THEN 'VALIDATION_FAILED' END"

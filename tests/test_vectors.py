@@ -104,6 +104,12 @@ def test_booleans_are_numbers_in_answers(spark):
     assert [r.normalized for r in out] == [["1.0"], ["5.25", "3500", "7"], None, []]
 
 
+def test_dates_in_text_in_answers(spark):
+    rows = spark.createDataFrame([(i, f'{{"found": true, "value": {v}, "evidence_chunk_ids": []}}', t) for i, (v, t) in enumerate((('["signed on the 5th of March 2024", "Mar 5, 2024", "2024-03-25"]', "array[date]"), ('["Mar 5, 2024", "none"]', "array[date]"), ("[]", "array[date]"), ('"signed on the 5th of March 2024"', "date"), ('["Mar 5, 2024"]', "array[string]"), ('["5 March 2024", null]', "array[date]")))], "i int, response_text string, output_type string")
+    out = answers.validated(answers.parsed_responses(rows, F.array(F.lit("c1"))), dt.date(2024, 1, 1)).orderBy("i").collect()
+    assert [r.normalized for r in out] == [["2024-03-05", "2024-03-05", "2024-03-25"], None, [], ["2024-03-05"], ["Mar 5, 2024"], None]
+
+
 def test_model_boundary(spark):
     class Echo:
         def generate(self, prompt):
