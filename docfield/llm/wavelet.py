@@ -170,7 +170,8 @@ class WordTokenizer:
     New words go to the library together, with a control character between them, which is a token of its own; known
     ones come from a bounded cache. Words that hold the character themselves are encoded alone. Texts of Latin-1
     characters are lower-cased beforehand, which the file's own normaliser (NFC, then lower case) leaves as they are;
-    a stop behind letters is a word of its own for the file, and so its letters are looked up without it.
+    a stop behind letters is a word of its own for the file, and so its letters are looked up without it. Texts that
+    hold a special token, in any case, go to the library as they are: it finds special tokens before it lower-cases.
     """
 
     MARK = "\x00"
@@ -188,7 +189,7 @@ class WordTokenizer:
         self.bits = max(1, (self.library.get_vocab_size() - 1).bit_length())
         self.apart = self._spaces_part()
         self.byte_marks = {b: m for b in range(0x20, 0xC4) for m in self._byte_mark(b)}
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = sorted({x for t in self.library.get_added_tokens_decoder().values() for x in (t.content, t.content.lower())})
 
     @staticmethod
     def _byte_mark(byte: int) -> str:
@@ -228,19 +229,29 @@ class WordTokenizer:
                 seen[w] = tuple(ids[start:end])
                 start = end + 1
 
-    def _split(self, text: str) -> list[str]:
+    def _split(self, text: str) -> list[str] | None:
+        """Words of a text, or None if it has to go to the library whole."""
         try:
             text.encode("latin-1")
             text = text.lower()
         except UnicodeEncodeError:
             pass
+        if any(s in text for s in self.special):
+            return None
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """ids of each text, with end_id appended."""
-        if not self.apart or any(s in t for s in self.special for t in texts):
-            return [np.array([*ids, end_id], np.uint32) for ids in self._ids(texts)]
-        split = [self._split(t) for t in texts]
+        split = [self._split(t) if self.apart else None for t in texts]
+        whole = [k for k, found in enumerate(split) if found is None]
+        if whole:
+            ids = iter(self._ids([texts[k] for k in whole]))
+            rest = iter(self._encode([found for found in split if found is not None], end_id))
+            return [np.array([*next(ids), end_id], np.uint32) if found is None else next(rest) for found in split]
+        return self._encode(split, end_id)
+
+    def _encode(self, split: list[list[str]], end_id: int) -> list[np.ndarray]:
+        """The same of texts cut into words, by the cache."""
         words = set().union(*split) if split else set()
         seen = self.seen
         new = words.difference(seen)

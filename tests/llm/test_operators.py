@@ -78,10 +78,12 @@ def test_tokenizer_words_are_the_librarys():
     from docfield.llm.wavelet import WordTokenizer
 
     w, r = WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
-    parts = ["a", "'s", "'ll", "É", "é", "\u0301", " ", "\n", "\t", "\u2003", "\x1c", "\x85", "1", "٣", "!", "-", "<|endoftext|>", "\x00", "ß", "İ", "Σ", "日", "T", "."]
+    parts = ["a", "'s", "'ll", "É", "é", "\u0301", " ", "\n", "\t", "\u2003", "\x1c", "\x85", "1", "٣", "!", "-", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|end", "OFTEXT|>", "\x00", "ß", "İ", "Σ", "日", "T", "."]
     for _ in range(3000):
         s = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
         assert list(w.encode([s], 2)[0][:-1]) == w.library.encode(s, add_special_tokens=False).ids, repr(s)
+    together = ["plain words", "<|ENDOFTEXT|>", "x <|endoftext|> y", "É <|EndOfText|> 日", "more words"]
+    assert [list(x[:-1]) for x in w.encode(together, 2)] == [w.library.encode(s, add_special_tokens=False).ids for s in together]
 
 
 # --- 2 ------------------------------------------------------------------------------------------------
