@@ -1,19 +1,21 @@
 """Operator 3: personal data by base patterns and a skip-chain conditional random field.
 
 Base patterns give certain spans, which stay. The field then labels every token that holds a digit or an
-at sign as other, email, ip, card or phone. Neighbouring tokens share chain potentials; distant tokens that
+at sign as other, email, ip, card or phone. Neighbouring tokens share chain potentials. Distant tokens that
 repeat or resemble one another (same letters and digits, same last seven digits, same mailbox name) share
-skip potentials, so a number found once with its prefix is also found where it stands without. Each
-occurrence is linked to the next one of its key, so edges stay linear in the text. Loopy sum-product
-messages run over all documents of a batch at once; a token whose label is likelier than `threshold` and
-that no base span touches becomes a span, with like neighbours joined.
+skip potentials by way of a hidden node for what they have in common, so a number found once with its prefix is also found
+where it stands without, at any distance, and edges stay linear in the text. Loopy sum-product messages run until
+each document's own messages settle (ROUNDS at most; a document's result doesn't depend on its batch).
+A token whose label is likelier than `threshold` and that no base span touches becomes a span; neighbours
+of the same likeliest label join it as far as they make one number.
 
 Weights are trained here, piecewise: node weights by multinomial logistic regression, chain and skip
 potentials by smoothed log-odds of label agreement, on SAMPLES generated and labelled documents (fixed
 seed; no data of the corpus). Base matches are features that are hidden in a part of the samples.
 
-Offsets are code points, ends exclusive. Null and empty texts have no spans. Length is not limited; all
-patterns are linear in the text.
+Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows and null ids give a
+row each. All patterns are linear in the text. Tokens and messages are held in arrays, about 150 bytes for a token with a
+digit, for at most BLOCK_TOKENS tokens or one text; all else is worked on in steps of EDGES edges.
 """
 
 from __future__ import annotations
@@ -21,21 +23,28 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfield.llm.common import slices
+from docfield.llm.common import Bounded, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLES, SEED = 1_500, 20
 THRESHOLD = 0.95
-ROUNDS, DAMPING = 25, 0.5
+ROUNDS, DAMPING, SETTLED = 200, 0.5, 1e-3
+#: A neighbour of a likely token joins its span above this probability.
+JOIN = 0.5
+BLOCK_TOKENS, EDGES = 1 << 17, 1 << 16
+#: Shares of the log-odds that become chain and skip potentials.
+CHAIN_SCALE, SKIP_SCALE = 0.3, 0.7
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,90 +104,108 @@ _TESTS = (
     ("at", lambda t, d: "@" in t), ("at and dot behind", lambda t, d: "." in t.partition("@")[2].rstrip(".,;:")), ("plus first", lambda t, d: t.lstrip("([\"'")[:1] == "+"), ("brackets", lambda t, d: "(" in t and ")" in t),
     ("dash", lambda t, d: "-" in t.strip("-")), ("dashed digits", lambda t, d: bool(re.fullmatch(r"\(?\d{3}\)?-?\d{3}-\d{4}\W*|\d{3}-\d{4}\W*", t))), ("four parts", lambda t, d: bool(re.fullmatch(r"\D?\d{1,3}(\.\d{1,3}){3}\W*", t))), ("dot", lambda t, d: "." in t.rstrip(".,;:")),
     ("slash or colon", lambda t, d: "/" in t or ":" in t.rstrip(":")), ("letters", lambda t, d: any(c.isalpha() for c in t)), ("digits only", lambda t, d: t.strip(".,;:()").isdigit()), ("checksum", lambda t, d: 16 <= len(d) <= 19 and luhn(d)), ("failed checksum", lambda t, d: 16 <= len(d) <= 19 and not luhn(d)), ("other signs", lambda t, d: any(c in "=\"'_%$#*&<>" for c in t)),
+    ("decimal number", lambda t, d: bool(re.fullmatch(r"\W?\d+[.,]\d+\W*", t))), ("day", lambda t, d: bool(re.fullmatch(r"\d{4}-\d\d-\d\d\W*", t))),
 )
-WIDTH = 1 + len(_COUNT_BINS) + len(_TESTS) + 3 * len(KINDS) + 2
+SHAPES = 1 + len(_COUNT_BINS) + len(_TESTS)
+WIDTH = SHAPES + 3 * len(KINDS) + 2
+
+
+def shape(token: str) -> int:
+    """The tests that a token passes, as bits."""
+    digits = "".join(c for c in token if c in "0123456789")
+    bits = [0, *[1 + k for k, x in enumerate(_COUNT_BINS) if len(digits) > x], *[1 + len(_COUNT_BINS) + k for k, (_, test) in enumerate(_TESTS) if test(token, digits)]]
+    return sum(1 << b for b in bits)
+
+
+def likeness(token: str) -> tuple[int, ...]:
+    """Hashes of what like tokens have in common."""
+    plain = token.strip(".,;:()[]\"'").lower()
+    digits = "".join(c for c in token if c in "0123456789")
+    out = ["t" + plain]
+    if len(digits) >= 7:
+        out.append("d" + digits[-7:])
+    name = plain.partition("@")[0]
+    if len(name) >= 5 and any(c.isalpha() for c in name):
+        out.append("n" + name)
+    return tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in out)
 
 
 class Tokens:
-    """Candidate tokens of some texts, with their features and the edges among them."""
+    """Candidate tokens of some texts, in arrays: where they are, their shapes, base kinds (0: none), neighbours and likenesses."""
 
     def __init__(self):
-        self.rows: list[list[int]] = []
-        self.where: list[tuple[int, int, int]] = []
-        self.base: list[str | None] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.text, self.start, self.end, self.shape, self.base, self.linked = array("i"), array("i"), array("i"), array("I"), array("b"), array("b")
+        self.key, self.key_of = array("Q"), array("i")
+        self.seen = Bounded(lambda t: (shape(t), likeness(t)), 50_000)
+
+    def __len__(self) -> int:
+        return len(self.text)
 
     def add(self, n: int, text: str, spans: list[tuple[str, int, int]]) -> None:
-        starts = sorted((a, b, k) for k, a, b in spans)
-        last: dict[tuple, int] = {}
-        first, before, s = len(self.where), None, 0
+        starts = sorted((a, b, 1 + KINDS.index(k)) for k, a, b in spans)
+        linked, s = 0, 0
         for m in _TOKEN.finditer(text):
             if m[1] is None:
-                before = None
+                linked = 0
                 continue
-            a, b, i = m.start(), m.end(), len(self.where)
+            a, b = m.span()
             while s < len(starts) and starts[s][1] <= a:
                 s += 1
-            kind = next((k for x, y, k in starts[s : s + 4] if x < b and y > a), None)
-            self.where.append((n, a, b))
-            self.base.append(kind)
-            self.rows.append(self._shape(m[1]))
-            if before is not None:
-                self.chain.append((before, i))
-            for key in self._keys(m[1]):
-                if key in last and last[key] != before:
-                    self.skip.append((last[key], i))
-                last[key] = i
-            before = i
-        self._context(first)
+            form, keys = self.seen[m[1]] if b - a <= 64 else (shape(m[1]), likeness(m[1]))
+            for key in keys:
+                self.key.append(key)
+                self.key_of.append(len(self.text))
+            self.text.append(n)
+            self.start.append(a)
+            self.end.append(b)
+            self.base.append(next((k for x, y, k in starts[s : s + 4] if x < b and y > a), 0))
+            self.shape.append(form)
+            self.linked.append(linked)
+            linked = 1
+
+    def graph(self) -> Graph:
+        text, linked = np.array(self.text, np.int32), np.array(self.linked, bool)
+        second = np.flatnonzero(linked).astype(np.int32)
+        key, of = np.array(self.key, np.uint64), np.array(self.key_of, np.int32)
+        order = np.lexsort((of, key, text[of])) if of.size else of
+        key, of = key[order], of[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (text[of[1:]] != text[of[:-1]])] if of.size else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        shared = np.bincount(group, minlength=1)[group] > 1 if of.size else new
+        of, group = of[shared], group[shared]
+        hub = np.cumsum(np.r_[True, group[1:] != group[:-1]]).astype(np.int32) - 1 if of.size else of
+        return Graph(text, second, of, hub)
+
+    def context(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Base kinds of each token, of its neighbour before and of that behind; -1 where there is no neighbour."""
+        base, linked = np.array(self.base, np.int8), np.array(self.linked, bool)
+        before, behind = np.full(base.size, -1, np.int8), np.full(base.size, -1, np.int8)
+        before[linked] = base[np.flatnonzero(linked) - 1]
+        behind[np.flatnonzero(linked) - 1] = base[linked]
+        return base, before, behind
+
+    def features(self, hide: np.ndarray) -> np.ndarray:
+        """Rows of indicators for training; hide: tokens whose base kinds, and neighbours', are not told."""
+        out = np.zeros((len(self), WIDTH))
+        out[:, :SHAPES] = np.array(self.shape, np.uint32)[:, None] >> np.arange(SHAPES, dtype=np.uint32) & 1
+        for k, kinds in enumerate(self.context()):
+            at = np.flatnonzero((kinds > 0) & ~hide)
+            out[at, SHAPES + k * len(KINDS) + kinds[at] - 1] = 1
+            if k:
+                out[kinds >= 0, SHAPES + 3 * len(KINDS) + k - 1] = 1
+        return out
 
-    @staticmethod
-    @lru_cache(maxsize=20_000)
-    def _shape(token: str) -> list[int]:
-        digits = "".join(c for c in token if c in "0123456789")
-        size = sum(len(digits) > x for x in _COUNT_BINS)
-        return [0, *[1 + k for k in range(len(_COUNT_BINS)) if k < size], *[1 + len(_COUNT_BINS) + k for k, (_, test) in enumerate(_TESTS) if test(token, digits)]]
 
-    @staticmethod
-    def _keys(token: str) -> list[tuple]:
-        plain = token.strip(".,;:()[]\"'").lower()
-        digits = "".join(c for c in token if c in "0123456789")
-        out: list[tuple] = [("token", plain)]
-        if len(digits) >= 7:
-            out.append(("tail", digits[-7:]))
-        name = plain.partition("@")[0]
-        if len(name) >= 5 and any(c.isalpha() for c in name):
-            out.append(("name", name))
-        return out
+class Graph:
+    """Edges among tokens: chain edges by their second token, skip edges between a token and a hidden node, in the order of documents."""
 
-    def _context(self, first: int) -> None:
-        at = 1 + len(_COUNT_BINS) + len(_TESTS)
-        for i in range(first, len(self.where)):
-            row = list(self.rows[i])
-            if self.base[i]:
-                row.append(at + KINDS.index(self.base[i]))
-            for step, shift in ((-1, len(KINDS)), (1, 2 * len(KINDS))):
-                j = i + step
-                if first <= j < len(self.where) and ((j, i) if step < 0 else (i, j)) in self._pairs(first):
-                    if self.base[j]:
-                        row.append(at + shift + KINDS.index(self.base[j]))
-                    row.append(at + 3 * len(KINDS) + (step > 0))
-            self.rows[i] = row
-
-    def _pairs(self, first: int) -> set:
-        if getattr(self, "_first", None) != (first, len(self.where)):
-            self._first, self._set = (first, len(self.where)), {p for p in self.chain if p[0] >= first}
-        return self._set
-
-    def features(self, hide: np.ndarray | None = None) -> np.ndarray:
-        out = np.zeros((len(self.rows), WIDTH), np.float64)
-        for i, row in enumerate(self.rows):
-            out[i, row] = 1
-        if hide is not None:
-            at = 1 + len(_COUNT_BINS) + len(_TESTS)
-            out[hide, at : at + 3 * len(KINDS)] = 0
-        return out
+    def __init__(self, text: np.ndarray, second: np.ndarray, member: np.ndarray, hub: np.ndarray):
+        self.text, self.second, self.member, self.hub = text, second, member, hub
+        self.hubs = int(hub[-1]) + 1 if hub.size else 0
+
+    def edges(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ends of the chain edges and of the skip edges; hidden nodes are numbered behind the tokens."""
+        return [(self.second - 1, self.second), (self.member, self.hub + np.int32(self.text.size))]
 
 
 # --- training -----------------------------------------------------------------------------------------
@@ -214,37 +241,45 @@ def _noise(r: random.Random) -> str:
     return r.choice([n, n, year, f"{year}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{n}.{n[:2]}", f"v{n[0]}.{n[-1]}.0", f"${n}", f"{n}%", f"{n}-{n}", f"({n})", f'"{hexed}"', hexed, hexed.upper(), f'"{hexed.upper()}"', long, long, f"id{long}", f"{n[:2]}:{n[-2:]}", "@here", f"@{n}", f"x{n}", f"{n}x{n}", f"#{n}", f"{n},{n[:3]}"])
 
 
+def labelled(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    """n generated documents, each with its parts: start, end and label (a number of LABELS)."""
+    r = random.Random(seed)
+    for _ in range(n):
+        parts: list[tuple[str, int]] = []
+        entities, noises = [_entity(r) for _ in range(r.randint(0, 3))], [_noise(r) for _ in range(2)]
+        for _ in range(r.randint(4, 14)):
+            roll = r.random()
+            if entities and roll < 0.35:
+                kind, ways = r.choice(entities)
+                parts.append((ways[0] if r.random() < 0.6 else r.choice(ways), LABELS.index(kind)))
+            elif roll < 0.7:
+                parts.append((r.choice(noises) if r.random() < 0.6 else _noise(r), 0))
+            else:
+                parts.append((r.choice(["the", "of", "and", "thion", "eron"]), 0))
+        text, marks = "", []
+        for part, label in parts:
+            marks.append((len(text), len(text) + len(part), label))
+            text += part + " "
+        yield text, marks
+
+
 class SkipChainField:
     def __init__(self, samples: int = SAMPLES, seed: int = SEED):
-        r, tokens, gold = random.Random(seed), Tokens(), []
-        for n in range(samples):
-            parts: list[tuple[str, int]] = []
-            entities, noises = [_entity(r) for _ in range(r.randint(0, 3))], [_noise(r) for _ in range(2)]
-            for _ in range(r.randint(4, 14)):
-                roll = r.random()
-                if entities and roll < 0.35:
-                    kind, ways = r.choice(entities)
-                    parts.append((ways[0] if r.random() < 0.6 else r.choice(ways), LABELS.index(kind)))
-                elif roll < 0.7:
-                    parts.append((r.choice(noises) if r.random() < 0.6 else _noise(r), 0))
-                else:
-                    parts.append((r.choice(["the", "of", "and", "thion", "eron"]), 0))
-            text, marks = "", []
-            for part, label in parts:
-                marks.append((len(text), len(text) + len(part), label))
-                text += part + " "
-            first = len(tokens.where)
+        tokens, gold = Tokens(), []
+        for n, (text, marks) in enumerate(labelled(samples, seed)):
+            first, k = len(tokens), 0
             tokens.add(n, text, base_spans(text))
-            k = 0
-            for _, a, b in tokens.where[first:]:
+            for a, b in zip(tokens.start[first:], tokens.end[first:], strict=True):
                 while marks[k][1] < b:
                     k += 1
                 gold.append(marks[k][2] if marks[k][0] <= a else 0)
-        y = np.array(gold)
+        y, g = np.array(gold), tokens.graph()
         hide = np.random.default_rng(seed).random(len(y)) < 0.3
         self.weights = self._logistic(tokens.features(hide), y)
-        share = (np.bincount(y, minlength=len(LABELS)) + 1) / (len(y) + len(LABELS))
-        self.potentials = np.stack([self._agreement(tokens.chain, y, share, 0.3), self._agreement(tokens.skip, y, share, 0.7)])
+        votes = np.zeros((g.hubs, len(LABELS)))
+        np.add.at(votes, (g.hub, y[g.member]), 1)
+        shared = votes.argmax(1)  # of a hidden node: what most of its tokens are
+        self.potentials = [self._agreement(y[g.second - 1], y[g.second], CHAIN_SCALE), self._agreement(y[g.member], shared[g.hub], SKIP_SCALE)]
 
     @staticmethod
     def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
@@ -258,37 +293,30 @@ class SkipChainField:
         return w
 
     @staticmethod
-    def _agreement(edges: list[tuple[int, int]], y: np.ndarray, share: np.ndarray, scale: float) -> np.ndarray:
-        """Log-odds of two labels at an edge over labels drawn alone, scaled as node weights already tell a part."""
+    def _agreement(a: np.ndarray, b: np.ndarray, scale: float) -> np.ndarray:
+        """Log-odds of two labels at an edge, either way round, over labels drawn alone; scaled, as node weights already tell a part."""
         counts = np.ones((len(LABELS), len(LABELS)))
-        for a, b in edges:
-            counts[y[a], y[b]] += 1
-            counts[y[b], y[a]] += 1
-        return scale * np.clip(np.log(counts / counts.sum() / np.outer(share, share)), -3, 3)
+        np.add.at(counts, (a, b), 1)
+        np.add.at(counts, (b, a), 1)
+        counts /= counts.sum()
+        return scale * np.clip(np.log(counts / np.outer(counts.sum(1), counts.sum(0))), -3, 3)
+
+    def unary(self, tokens: Tokens) -> np.ndarray:
+        """Log-probabilities of each token's labels from its own features."""
+        forms, of = np.unique(np.array(tokens.shape, np.uint32), return_inverse=True)
+        out = ((forms[:, None] >> np.arange(SHAPES, dtype=np.uint32) & 1) @ self.weights[:SHAPES])[of].astype(np.float32)
+        for k, kinds in enumerate(tokens.context()):
+            rows = np.zeros((len(KINDS) + 2, len(LABELS)), np.float32)  # no neighbour, no base kind, the kinds
+            rows[2:] = self.weights[SHAPES + k * len(KINDS) : SHAPES + (k + 1) * len(KINDS)]
+            if k:
+                rows[1:] += self.weights[SHAPES + 3 * len(KINDS) + k - 1].astype(np.float32)
+            out += rows[kinds + 1]
+        return out - np.logaddexp.reduce(out, axis=1, keepdims=True)
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
         """Label probabilities of each token after loopy messages."""
-        unary = tokens.features() @ self.weights
-        unary -= np.logaddexp.reduce(unary, axis=1, keepdims=True)
-        pairs = [(a, b, 0) for a, b in tokens.chain] + [(a, b, 1) for a, b in tokens.skip]
-        if pairs:
-            a, b, kind = np.array(pairs).T
-            src, dst, pot = np.r_[a, b], np.r_[b, a], self.potentials[np.r_[kind, kind]]
-            back = np.r_[np.arange(len(a)) + len(a), np.arange(len(a))]
-            sent = np.zeros((len(src), len(LABELS)))
-            for _ in range(ROUNDS):
-                belief = unary.copy()
-                np.add.at(belief, dst, sent)
-                new = np.logaddexp.reduce((belief[src] - sent[back])[:, :, None] + pot, axis=1)
-                new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-                change = np.abs(new - sent).max()
-                sent = DAMPING * sent + (1 - DAMPING) * new
-                if change < 1e-3:
-                    break
-            belief = unary.copy()
-            np.add.at(belief, dst, sent)
-            unary = belief - np.logaddexp.reduce(belief, axis=1, keepdims=True)
-        return np.exp(unary)
+        unary, graph = self.unary(tokens), tokens.graph()
+        return np.exp(messages(unary, graph, [np.exp(p).astype(np.float32) for p in self.potentials])[: len(tokens)])
 
     @staticmethod
     def _one(kind: str, text: str) -> bool:
@@ -297,32 +325,93 @@ class SkipChainField:
         return kind == "phone" and digits <= 11 or kind == "card" and digits <= 16
 
     def added(self, texts: list[str], base: list[list[tuple[str, int, int]]], threshold: float = THRESHOLD) -> list[list[tuple[str, int, int]]]:
-        """Spans beside the base ones, for each text."""
-        tokens, out = Tokens(), [[] for _ in texts]
+        """Spans beside the base ones, for each text. Documents go in blocks of about BLOCK_TOKENS tokens."""
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        tokens = Tokens()
         for n, (text, spans) in enumerate(zip(texts, base, strict=True)):
             tokens.add(n, text, spans)
-        if not tokens.where:
-            return out
+            if len(tokens) >= BLOCK_TOKENS:
+                self._spans(tokens, texts, out, threshold)
+                tokens = Tokens()
+        if len(tokens):
+            self._spans(tokens, texts, out, threshold)
+        return out
+
+    def _spans(self, tokens: Tokens, texts: list[str], out: list[list[tuple[str, int, int]]], threshold: float) -> None:
         p = self.marginals(tokens)
-        label, last = p.argmax(1), -2
-        chained = set(tokens.chain)
-        for i in np.flatnonzero((label > 0) & (p.max(1) >= threshold)):
-            n, a, b = tokens.where[i]
-            text = texts[n]
+        label, best = p.argmax(1), p.max(1)
+        linked, base = tokens.linked, tokens.base
+        done = -1
+        for i in np.flatnonzero((label > 0) & (best >= threshold)).tolist():
+            if i <= done or base[i]:
+                continue
+            n, kind, text = tokens.text[i], LABELS[label[i]], texts[tokens.text[i]]
+            like = lambda j: not base[j] and label[j] == label[i] and best[j] >= JOIN  # noqa: E731, B023
+            first = last = i
+            while linked[first] and first - 1 > done and like(first - 1) and self._one(kind, text[tokens.start[first - 1] : tokens.end[last]]):
+                first -= 1
+            while last + 1 < len(tokens) and linked[last + 1] and like(last + 1) and self._one(kind, text[tokens.start[first] : tokens.end[last + 1]]):
+                last += 1
+            done = last
+            a, b = tokens.start[first], tokens.end[last]
             while b > a and text[b - 1] in ".,;:\"'!?":
                 b -= 1
             while a < b and text[a] in "\"'[":
                 a += 1
-            if tokens.base[i] or a == b:
-                continue
-            kind = LABELS[label[i]]
-            if last == i - 1 and (last, i) in chained and out[n] and out[n][-1][0] == kind and self._one(kind, text[out[n][-1][1] : b]):
-                out[n][-1] = (kind, out[n][-1][1], b)
-            else:
+            if a < b:
                 out[n].append((kind, a, b))
-            last = i
+
+
+def messages(unary: np.ndarray, graph: Graph, factors: list[np.ndarray]) -> np.ndarray:
+    """Log-marginals by loopy sum-product over tokens and hidden nodes; factors: symmetric tables of the two kinds of edges.
+
+    Every message is made from the last round's beliefs, and a document rests when none of its own moves any more.
+    Edges go in steps of EDGES. Arrays have a row for each label.
+    """
+    n, labels = unary.shape
+    start = np.concatenate([unary.T, np.full((labels, graph.hubs), -np.log(labels), np.float32)], axis=1)
+    ends = graph.edges()
+    sent = [(np.zeros((labels, a.size), np.float32), np.zeros((labels, a.size), np.float32)) for a, _ in ends]  # to the second end, to the first
+
+    by_token = np.argsort(graph.member, kind="stable")
+    tokens, first_of_token = np.unique(graph.member[by_token], return_index=True)
+    first_of_hub = np.searchsorted(graph.hub, np.arange(graph.hubs))
+
+    def beliefs() -> np.ndarray:
+        out = start.copy()
+        for k in range(labels):
+            out[k, graph.second] += sent[0][0][k]  # a token has one neighbour on each side
+            out[k, graph.second - 1] += sent[0][1][k]
+            if graph.hubs:
+                out[k, tokens] += np.add.reduceat(sent[1][1][k][by_token], first_of_token)
+                out[k, n:] += np.add.reduceat(sent[1][0][k], first_of_hub)
         return out
 
+    def passed(cavity: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        cavity -= cavity.max(0)
+        new = factor @ np.exp(cavity, out=cavity)
+        return np.log(new / new.sum(0))
+
+    live = [np.arange(a.size) for a, _ in ends]
+    texts = int(graph.text[-1]) + 1 if n else 0
+    for _ in range(ROUNDS):
+        if not any(x.size for x in live):
+            break
+        belief, change = beliefs(), np.zeros(texts, np.float32)
+        for (a, b), (there, back), factor, at in zip(ends, sent, factors, live, strict=True):
+            for k in range(0, at.size, EDGES):
+                e = slice(k, k + EDGES) if at.size == a.size else at[k : k + EDGES]
+                old_x, old_y = there[:, e], back[:, e]
+                x, y = passed(belief[:, a[e]] - old_y, factor), passed(belief[:, b[e]] - old_x, factor)
+                moved = np.maximum(np.abs(x - old_x).max(0), np.abs(y - old_y).max(0))
+                np.maximum.at(change, graph.text[a[e]], moved)
+                there[:, e] = DAMPING * old_x + (1 - DAMPING) * x
+                back[:, e] = DAMPING * old_y + (1 - DAMPING) * y
+        rest = change < SETTLED
+        live = [at[~rest[graph.text[a[at]]]] for (a, _), at in zip(ends, live, strict=True)]
+    out = beliefs().T
+    return out - np.logaddexp.reduce(out, axis=1, keepdims=True)
+
 
 @lru_cache(maxsize=1)
 def field() -> SkipChainField:

@@ -152,3 +152,113 @@ def test_an_index_serves_other_questions(spark):
     assert index_matches(index, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
     none = build_index(spark.createDataFrame([], "doc_id long, text string"))
     assert index_proximity(none, ["a"], 3).count() == 0 and index_matches(none, spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+# --- 3 ------------------------------------------------------------------------------------------------
+
+
+def test_messages_are_exact_on_trees():
+    """Every labelling of small graphs without loops, counted out."""
+    from itertools import product
+
+    from docfield.llm.pii import Graph, messages
+
+    g = np.random.default_rng(3)
+    for case in range(30):
+        n, labels = int(g.integers(1, 5)), 3
+        unary = np.log(g.random((n, labels))).astype(np.float32)
+        linked = np.array([k for k in range(1, n) if case % 3 == 0 and g.random() < 0.8], np.int32)  # chains alone, or hidden nodes alone
+        hub = np.zeros(0, np.int32) if case % 3 == 0 or n < 2 else np.zeros(n, np.int32)
+        member = np.arange(hub.size, dtype=np.int32)
+        tables = [np.exp(x + x.T).astype(np.float32) for x in g.normal(size=(2, labels, labels))]
+        graph = Graph(np.zeros(n, np.int32), linked, member, hub)
+        total = np.zeros((n + graph.hubs, labels))
+        for y in product(range(labels), repeat=n + graph.hubs):
+            p = np.exp(sum(float(unary[k, y[k]]) for k in range(n)))
+            for a, b in zip(*graph.edges()[0], strict=True):
+                p *= tables[0][y[a], y[b]]
+            for a, b in zip(*graph.edges()[1], strict=True):
+                p *= tables[1][y[a], y[b]]
+            for k, x in enumerate(y):
+                total[k, x] += p
+        total /= total.sum(1, keepdims=True)
+        assert np.abs(np.exp(messages(unary, graph, tables)) - total).max() < 5e-3
+
+
+def test_messages_on_loops_are_near_and_settle():
+    from itertools import product
+
+    from docfield.llm.pii import LABELS, SkipChainField, Tokens, base_spans, field, messages
+
+    f, text = field(), "call (338) 555-7198 or 555-7198 then 338-555-7198 now"
+    tokens = Tokens()
+    tokens.add(0, text, base_spans(text))
+    unary, graph = f.unary(tokens), tokens.graph()
+    tables = [np.exp(p) for p in f.potentials]
+    n = len(tokens)
+    total = np.zeros((n, len(LABELS)))
+    for y in product(range(len(LABELS)), repeat=n):
+        p = np.exp(sum(float(unary[k, y[k]]) for k in range(n)))
+        for a, b in zip(*graph.edges()[0], strict=True):
+            p *= tables[0][y[a], y[b]]
+        for h in range(graph.hubs):  # hidden nodes summed out
+            p *= sum(np.prod([tables[1][y[m], z] for m in graph.member[graph.hub == h]]) for z in range(len(LABELS))) / len(LABELS)
+        for k, x in enumerate(y):
+            total[k, x] += p
+    total /= total.sum(1, keepdims=True)
+    got = f.marginals(tokens)
+    assert (got.argmax(1) == total.argmax(1)).all() and np.abs(got - total).max() < 0.1
+    assert isinstance(f, SkipChainField) and np.isfinite(messages(unary, graph, [t.astype(np.float32) for t in tables])).all()
+
+
+def test_a_documents_spans_do_not_depend_on_its_batch():
+    from docfield.llm import pii
+
+    texts = [t for t, _ in pii.labelled(120, 77)]
+    alone = [pii.found_spans([t])[0] for t in texts]
+    assert pii.found_spans(texts) == alone
+    far = "call +1 (338) 555-7198 now " + "and 12 or 345 then " * 400 + "ask 555-7198"
+    base, every = pii.found_spans([far])[0]
+    assert len(base) == 1 and every[-1] == ("phone", len(far) - 8, len(far))
+
+
+def test_added_spans_on_labelled_samples():
+    from docfield.llm import pii
+
+    docs, right, added, wanted, met = list(pii.labelled(2_000, 4_242)), 0, 0, 0, 0
+    for (_, marks), (base, every) in zip(docs, pii.found_spans([t for t, _ in docs]), strict=True):
+        more = [x for x in every if x not in base]
+        gold = [(pii.LABELS[y], a, b) for a, b, y in marks if y]
+        free = [g for g in gold if not any(a < g[2] and b > g[1] for _, a, b in base)]
+        touch = lambda x, g: x[0] == g[0] and x[1] < g[2] and x[2] > g[1]
+        added, right = added + len(more), right + sum(any(touch(x, g) for g in gold) for x in more)
+        wanted, met = wanted + len(free), met + sum(any(touch(x, g) for x in more) for g in free)
+    assert right / added >= 0.96 and met / wanted >= 0.87, (right / added, met / wanted)
+
+
+def test_pii_digests_are_those_of_the_spans(spark):
+    from docfield.llm.pii import found_spans, joined, ordered, pii_spans
+    from tests.llm.test_operators import ODD
+
+    rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    for r in pii_spans(rows).collect():
+        base, every = found_spans([texts[r.doc_id]])[0]
+        assert r.base_sha256 == hashlib.sha256(joined(ordered(base)).encode()).hexdigest() and r.spans == joined(every)
+
+
+def test_memory_on_a_long_text_of_numbers():
+    """8 MB of numbers in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from docfield.llm import pii
+r = random.Random(2)
+text = " ".join(str(r.randrange(10**7)) for _ in range(1 << 20))
+assert pii.found_spans([text])[0][0] == []
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-1]) < 1000
