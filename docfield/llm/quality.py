@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfield.llm.common import Bounded, as_bytes, id_and_text, slices
-from docfield.llm.features import BITS, crc_of_id, label_sample, mixed, word_hash
+from docfield.llm.features import BITS, crc_of_id, label_sample, mixed, sigmoid_fit, word_hash
 
 PER_CLASS = 5_000
 C, EPOCHS, SMOOTH, SEED = 1.0, 10, 1.0, 7
@@ -96,22 +96,6 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
     return w, bias
 
 
-def sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a and b of 1 / (1 + exp(-(a * margin + b))), by Newton steps with a little ridge."""
-    a, b, t = 1.0, 0.0, (y > 0).astype(float)
-    t = t * ((t.sum() + 1) / (t.sum() + 2)) + (1 - t) * (1 / ((1 - t).sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
-        s = p * (1 - p)
-        g = np.array([((p - t) * margin).sum() + 1e-3 * a, (p - t).sum()])
-        h = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(a), float(b)
-
-
 class NBSVM:
     """ratio, weight, bias and sigmoid; `known` are the places that the sample has."""
 

@@ -1,12 +1,14 @@
 """Operator 4: toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features (present or not, 2^20 places): words and their first four and five bytes, pairs of neighbours, and
+Features (present or not, 2^20 places): words and their first three to six characters, pairs of neighbours, and
 pairs with one word between. Training is online: each coordinate has its own learning rate, and L1 keeps
-the weights sparse, so what is sent to the tasks is a short list of places and weights.
+the weights sparse, so what is sent to the tasks is a short list of places and weights. Rows of class 1, the rarer one,
+count POSITIVE times. A sigmoid turns margins into scores: it is fitted, with both classes weighing the same,
+on margins that models of FOLDS folds give to the rows they didn't learn from.
 
 Learns on the driver from a bounded sample: at most PER_CLASS labelled rows of either class, in the order
 of a hash of their ids. Scores every whole text. Null and empty texts get the score of the bias alone.
-Without labels of both classes the model is empty and every score is 0.5 or the class's own rate.
+Without labels of both classes every score is 0.5.
 """
 
 from __future__ import annotations
@@ -19,18 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfield.llm.common import Bounded, as_bytes, id_and_text, slices
-from docfield.llm.features import BITS, MASK, crc_of_id, label_sample, mixed, word_hash, words_of
+from docfield.llm.features import BITS, MASK, crc_of_id, label_sample, mixed, sigmoid_fit, word_hash, words_of
 
 PER_CLASS = 4_000
-PASSES, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 6.0, 0.1
+PASSES, ALPHA, BETA, L1, L2 = 6, 4.0, 1.0, 14.0, 0.1
+POSITIVE, FOLDS = 5.0, 3
 THRESHOLD = 0.7
 CACHE_WORDS = 500_000
-_SALTS = (0, 0x2545F491, 0x7F4A7C15)
+PREFIXES = (3, 4, 5, 6)
 
 
 def word_places(word: bytes) -> tuple[int, ...]:
-    """Places of the features of one word."""
-    return tuple({(word_hash(w) ^ salt) * 0x9E3779B1 >> 7 & MASK for w, salt in zip((word, word[:4], word[:5]), _SALTS, strict=True)})
+    """Places of the features of one word: itself, and its beginnings that are shorter."""
+    text = word.decode("utf-8", "replace")
+    own = [(word, 0), *((text[:n].encode("utf-8"), n) for n in PREFIXES if len(text) > n)]
+    return tuple({(word_hash(w) ^ 0x2545F491 * n & 0xFFFFFFFF) * 0x9E3779B1 >> 7 & MASK for w, n in own})
 
 
 def pair_places(hashes: np.ndarray) -> np.ndarray:
@@ -54,37 +59,65 @@ class FTRL:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last place is the bias
 
-    def weights(self, at) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        l1 = np.where(np.asarray(at) == 1 << BITS, 0.0, self.l1)
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+    def weights(self, at: np.ndarray, rate: np.ndarray | None = None) -> np.ndarray:
+        """Weights of places, of which the last is the bias: it has no L1. rate: roots of their squared gradients."""
+        z = self.z[at]
+        rate = np.sqrt(self.n[at]) if rate is None else rate
+        held = np.clip(z, -self.l1, self.l1)
+        held[-1] = 0
+        return (held - z) / ((self.beta + rate) / self.alpha + self.l2)
 
-    def learn(self, at: np.ndarray, y: int) -> float:
-        at = np.r_[at, 1 << BITS]
-        w = self.weights(at)
-        p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-        g = p - y
+    def learn(self, at: np.ndarray, y: int, weight: float = 1.0) -> float:
+        """One row (distinct places, then the bias) with its label; gives the probability it had before."""
         n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-        self.n[at] = n + g * g
+        rate = np.sqrt(n)
+        w = self.weights(at, rate)
+        p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
+        g = weight * (p - y)
+        n += g * g
+        self.z[at] += g - (np.sqrt(n) - rate) / self.alpha * w
+        self.n[at] = n
         return p
 
+    def all_weights(self) -> np.ndarray:
+        return self.weights(np.arange((1 << BITS) + 1))
+
+
+def fitted(rows: list[np.ndarray], y: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Weights, the bias last, from rows of places with the bias behind them. Classes take turns as far as their numbers allow."""
+    model, place = FTRL(), np.zeros(len(y))
+    for k in (0, 1):
+        of = np.flatnonzero(y == k)
+        place[of] = (np.arange(of.size) + 0.5) / max(of.size, 1)
+    order = np.lexsort((y, place)).tolist()
+    for _ in range(passes):
+        for i in order:
+            model.learn(rows[i], y[i], POSITIVE if y[i] else 1.0)
+    return model.all_weights()
+
 
 def train(sample: list[tuple[bytes, int]], passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places with a weight, the weights, the bias. Classes take turns as far as their numbers allow."""
-    model = FTRL()
-    by = [[t for t, y in sample if y == k] for k in (0, 1)]
-    if not all(by):
+    """Places with a weight, the weights, the bias, all scaled by the sigmoid; nothing if a class is missing."""
+    y = np.array([k for _, k in sample], np.int64)
+    if len(set(y.tolist())) < 2:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    order = sorted((((i + 0.5) / len(by[k])), k, i) for k in (0, 1) for i in range(len(by[k])))
     of_word = Bounded(word_places, CACHE_WORDS).__getitem__
-    found = [[places(t, of_word) for t in by[k]] for k in (0, 1)]
-    for _ in range(passes):
-        for _, k, i in order:
-            model.learn(found[k][i], k)
-    w = model.weights(np.arange((1 << BITS) + 1))
+    rows = [np.r_[places(t, of_word), 1 << BITS] for t, _ in sample]
+    w = fitted(rows, y, passes)
+    fold = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        fold[y == k] = np.arange((y == k).sum()) % FOLDS
+    a, b = 1.0, 0.0
+    if min((y == k).sum() for k in (0, 1)) >= 10 * FOLDS:
+        margin = np.zeros(len(y))
+        for f in range(FOLDS):
+            own = np.flatnonzero(fold != f)
+            v = fitted([rows[i] for i in own], y[own], passes)
+            for i in np.flatnonzero(fold == f):
+                margin[i] = v[rows[i]].sum()
+        a, b = sigmoid_fit(margin, y, balanced=True)
     at = np.flatnonzero(w[:-1])
-    return at, w[at], float(w[-1])
+    return at, a * w[at], a * float(w[-1]) + b
 
 
 class Scorer:

@@ -262,3 +262,178 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
     assert int(out.stdout.split()[-1]) < 1000
+
+
+# --- 4 and 7 ------------------------------------------------------------------------------------------
+
+
+def test_ftrl_steps_are_the_formulas():
+    from docfield.llm.toxicity import BITS, FTRL
+
+    model, g = FTRL(0.5, 1.0, 0.3, 0.2), np.random.default_rng(2)
+    z, n, bias = {}, {}, 1 << BITS
+
+    def weight(i):
+        if i != bias and abs(z.get(i, 0.0)) <= 0.3:
+            return 0.0
+        l1 = 0.0 if i == bias else 0.3
+        return -(z.get(i, 0.0) - math.copysign(l1, z.get(i, 0.0))) / ((1.0 + math.sqrt(n.get(i, 0.0))) / 0.5 + 0.2)
+
+    for step in range(400):
+        at, y, heavy = np.sort(g.choice(12, g.integers(0, 6), replace=False)), int(g.random() < 0.4), 3.0 if step % 2 else 1.0
+        row = [*at.tolist(), bias]
+        w = {i: weight(i) for i in row}
+        p = 1 / (1 + math.exp(-sum(w.values())))
+        assert abs(model.learn(np.array(row), y, heavy) - p) < 1e-9
+        for i in row:
+            d = heavy * (p - y)
+            sigma = (math.sqrt(n.get(i, 0.0) + d * d) - math.sqrt(n.get(i, 0.0))) / 0.5
+            z[i], n[i] = z.get(i, 0.0) + d - sigma * w[i], n.get(i, 0.0) + d * d
+    assert np.abs(model.all_weights()[[*range(12), bias]] - [weight(i) for i in [*range(12), bias]]).max() < 1e-9
+
+
+def test_scorer_adds_the_weights_of_all_features():
+    from docfield.llm.toxicity import Scorer, places, train, word_places
+
+    r = random.Random(5)
+    say = lambda bad: " ".join([r.choice(["the", "of", "tree", "house", "grünes", "été"]) for _ in range(12)] + (["scum", "idiots"] if bad else [])).encode()
+    sample = [(say(k % 3 == 0), int(k % 3 == 0)) for k in range(300)]
+    at, w, bias = train(sample)
+    table = dict(zip(at.tolist(), w.tolist(), strict=True))
+    scorer = Scorer(at, w, bias)
+    for text in [t for t, _ in sample[:40]] + [b"", b"nothing known", "éÉ".encode(), b"\xff"]:
+        z = bias + sum(table.get(p, 0.0) for p in places(text).tolist())
+        assert abs(scorer.score(text) - 1 / (1 + math.exp(-z))) < 1e-9
+    assert scorer.score(b"you scum") > 0.7 > scorer.score(b"the tree of the house")
+    assert len(word_places("ééé".encode())) == 1 and len(word_places("éééé".encode())) == 2  # cut at characters
+
+
+def test_log_count_ratio_and_dual_descent():
+    from docfield.llm.quality import dual_descent, log_count_ratio
+
+    g = np.random.default_rng(1)
+    rows = [np.sort(g.choice(40, 6, replace=False)) + (3 if k % 2 else 0) for k in range(60)]
+    y = np.array([1.0 if k % 2 else -1.0 for k in range(60)])
+    ratio, size = log_count_ratio(rows, y), 1 << 20
+    count = lambda place, sign: 1 + sum(place in r for r, s in zip(rows, y, strict=True) if s == sign)
+    total = {s: size + sum(len(r) for r, t in zip(rows, y, strict=True) if t == s) for s in (1.0, -1.0)}
+    for place in (0, 2, 20, 42, 99):
+        assert abs(ratio[place] - math.log(count(place, 1.0) / total[1.0] / (count(place, -1.0) / total[-1.0]))) < 1e-9
+    values = [ratio[r] / np.linalg.norm(ratio[r]) for r in rows]
+    w, bias = dual_descent(rows, values, y, epochs=400)
+    loss = lambda w, b: 0.5 * (w @ w + b * b) + sum(max(0.0, 1 - s * (w[r] @ v + b)) for r, v, s in zip(rows, values, y, strict=True))
+    best = loss(w, bias)
+    for _ in range(60):  # a minimum: no step to a side is better
+        step = np.zeros_like(w)
+        step[:43] = g.normal(size=43) * 10 ** g.uniform(-4, 0)
+        assert loss(w + step, bias + g.normal() * 0.01) >= best - 1e-3
+
+
+def test_training_samples_are_bounded(spark):
+    from docfield.llm.features import label_sample
+
+    docs = spark.createDataFrame([(k % 20, f"text {k}" * 10) for k in range(200)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(1, 0), (2, None), (99, 1)], "doc_id long, toxic int")
+    held = F.col("doc_id") == 4
+    rows = label_sample(docs, labels, "toxic", held, 50)
+    assert len(rows) == 19 and sum(y for _, y in rows) == 10 and sorted(rows) == sorted(label_sample(docs.repartition(5), labels, "toxic", held, 50))
+    assert len(label_sample(docs, labels, "toxic", held, 4)) == 8
+    assert len(label_sample(docs, labels, "toxic", held, 50, sample_bytes=400)) < 10
+
+
+# --- 6 ------------------------------------------------------------------------------------------------
+
+
+def test_distances_and_verdicts_are_the_definitions(spark):
+    from docfield.llm import divergence as d
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    out = d.quality_report(docs).collect()
+
+    def entropy_distance(p, q):
+        p, q = np.asarray(p, float), np.asarray(q, float)
+        if not p.sum() or not q.sum():
+            return 0.0 if p.sum() == q.sum() else 1.0
+        p, q = p / p.sum(), q / q.sum()
+        h = lambda x: -sum(v * math.log2(v) for v in x if v > 0)
+        return math.sqrt(max(0.0, h((p + q) / 2) - (h(p) + h(q)) / 2))
+
+    g = np.random.default_rng(8)
+    for _ in range(300):
+        p, q = g.integers(0, 4, 9), g.integers(0, 4, 9)
+        if p.sum() and q.sum():
+            assert abs(d.distance(p, q) - entropy_distance(p, q)) < 1e-6
+    for r in out:
+        far = r.class_distance > d.MAX_CLASS_DISTANCE or r.word_distance > d.MAX_WORD_DISTANCE
+        if r.base_failed:
+            assert not r.kept
+        elif r.n_words >= d.MIN_WORDS and r.word_chars >= 10 * d.MIN_WORDS:
+            assert r.kept == (not far)
+
+
+# --- 2, 9 and the pipeline ----------------------------------------------------------------------------
+
+
+def test_digests_of_pieces(spark):
+    import sentencepiece
+
+    from docfield.llm.pieces import encode_digests
+    from tests.llm.test_operators import ODD
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in encode_digests(rows, path).collect():
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def test_fingerprints_as_text(spark):
+    import xxhash
+
+    from docfield.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op9_simhash"](spark, SF).collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id]))
+        hashes = [xxhash.xxh64(" ".join(w[k : k + 4]).encode(), seed=42).intdigest() for k in range(max(1, len(w) - 3))] if w else []
+        assert r.fingerprint == f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}"
+
+
+def test_pipeline_rows_are_those_of_naive_stages(spark):
+    import sentencepiece
+
+    import corpus_pipeline as c
+    from docfield.llm import divergence
+    from docfield.llm.pii import found_spans, mask
+    from docfield.llm.simhash import fingerprint
+    from tests.llm.test_operators import brute_hits
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in divergence.quality_report(docs).collect() if r.kept}
+    rows = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in kept}
+    ids = sorted(rows)
+    prints = [fingerprint(rows[i].encode()) for i in ids]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((find(ids[a]), find(ids[b])))
+                root[y] = x
+    rows = {i: rows[i] for i in ids if find(i) == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hits = dict(zip(rows, brute_hits(list(rows.values()), items), strict=True))
+    rows = {i: t for i, t in rows.items() if not (hits[i][1] and 20 * hits[i][1] >= hits[i][0])}
+    rows = {i: mask(t, found_spans([t])[0][1]) for i, t in rows.items()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {i: library.encode(t) for i, t in rows.items()}
+    got = c.run(spark, SF).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == want and len(got) == len(want) and all(r.n_tokens == len(r.ids) for r in got)

@@ -149,7 +149,7 @@ def test_pii_field_and_masks(spark, odd, empty):
 # --- 4 and 7 ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.7), ("op7_quality", "quality", 0.9)])
+@pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.9), ("op7_quality", "quality", 0.9)])
 def test_classifiers_on_held_out_rows(spark, name, label, least):
     from docfield.llm.queries import QUERIES
 
