@@ -13,6 +13,9 @@ that conversation are escaped once more (level n of the header) and the trip is
 are identical: escaping puts a backslash behind the first character of every control string, and of every
 control string that has backslashes there already, so it can be undone and leaves no control string.
 
+One level is always enough: an escaped text holds no control string (they don't overlap, and a backslash makes none),
+so a turn's first closing mark is its own, and no mark can begin in a text and end behind it. LEVELS leaves one to spare.
+
 The loss mask holds the places of the assistants' texts in the formatted text (code points, ends exclusive).
 
 Turns stand in the order of `turn` (null first), equal ones by role and text. Null role and text count as
@@ -25,11 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfield.llm.common import shared_path
+from docfield.llm.common import running, shared_path
 
 #: What may follow the first character of a control string.
 _TAILS = r"/?s>|</?SYS>>|/?INST\]|ROLE |/ROLE\]"
-LEVELS = 3
+LEVELS = 2
 TURN = r"(?s)\[INST\] .*? \[/INST\]|<s>.*?</s>|<<SYS>>\n.*?\n<</SYS>>|\[ROLE [^\]]*\] .*? \[/ROLE\]"
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>\n", "\n<</SYS>>")}
 
@@ -99,7 +102,10 @@ def _source(turns: Column) -> Column:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask array<struct<start, end>>: one row for each conversation."""
+    """conv_id, formatted, loss_mask array<struct<start, end>>: one row for each conversation.
+
+    loss_mask would be null where the trip fails at every level, which can't be, as the module's text says.
+    """
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     out = out.withColumn("formatted", rendered(F.col("turns"), 0)).withColumn("back", parsed(F.col("formatted")))
@@ -108,19 +114,14 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         out = out.withColumn("same", same)
         out = out.withColumn("formatted", F.when(F.col("same"), F.col("formatted")).otherwise(rendered(F.col("turns"), level)))
         out = out.withColumn("back", F.when(F.col("same"), F.col("back")).otherwise(parsed(F.col("formatted"))))
-    out = out.withColumn("back", F.when(same, F.col("back")).otherwise(F.raise_error(F.lit("a conversation doesn't survive the round trip")).cast("array<struct<role:string,text:string,start:bigint,end:bigint,size:int>>")))
-    return out.select("conv_id", "formatted", loss_mask(F.col("back")).alias("loss_mask"))
+    return out.select("conv_id", "formatted", F.when(same, loss_mask(F.col("back"))).alias("loss_mask"))
 
 
 def loss_mask(back: Column) -> Column:
     """Places of the assistants' raw texts, from the parsed turns."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(s: Column, t: Column) -> Column:
-        span = F.struct((s["at"] + t["start"]).alias("start"), (s["at"] + t["end"]).alias("end"))
-        return F.struct((s["at"] + t["size"]).alias("at"), F.when(t["role"] == "assistant", F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(back, F.struct(F.lit(3).cast("long").alias("at"), none.alias("out")), step, lambda s: s["out"])
+    ends = running(F.transform(back, lambda t: t["size"].cast("long")), lambda a, b: a + b, F.lit(0).cast("long"))
+    begins = F.zip_with(back, ends, lambda t, end: F.struct(t["role"].alias("role"), (end - t["size"] + t["start"] + 3).alias("start"), (end - t["size"] + t["end"] + 3).alias("end")))
+    return F.transform(F.filter(begins, lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
 
 
 def write_conversations(conversations: DataFrame, path: str | None = None) -> str:

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A batch of texts is worked on in slices of at most this many bytes (one longer text is a slice of its own).
@@ -37,9 +37,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that stored() made in this process and that are still there.
+MADE: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the folders that stored() made from the one numbered `since` on, but for the last `keep`. Tables that read them are gone, too."""
+    jvm = spark.sparkContext._jvm
+    for path in MADE[since : len(MADE) - keep]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        MADE.remove(path)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -86,3 +100,19 @@ def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that most operators read, so the scan reads no more."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """values combined with all before them, by doubling: in round k each takes in the one 2^k places before, so n log n steps."""
+    rounds = F.slice(F.sequence(F.lit(0), F.lit(30)), F.lit(1), F.when(F.size(values) > 1, F.length(F.bin(F.size(values) - 1))).otherwise(0))
+
+    def step(s: Column, k: Column) -> Column:
+        shift = F.least(F.call_function("shiftleft", F.lit(1), k), F.size(s))
+        return F.zip_with(s, F.concat(F.array_repeat(zero, shift), F.slice(s, F.lit(1), F.size(s) - shift)), combine)
+
+    return F.aggregate(rounds, values, step)
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

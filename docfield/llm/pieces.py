@@ -264,16 +264,18 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string: one row for each row of docs (null text: no ids)."""
+def encode_documents(docs: DataFrame, model_path: str, decode: bool = True) -> DataFrame:
+    """doc_id, ids array<int>, decoded string: one row for each row of docs (null text: no ids). Without `decode` the last column is left out."""
+    names = ["doc_id", "ids", "decoded"] if decode else ["doc_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for batch in slices(batches):
             ids = [m.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            texts = [pa.array([m.decode(x) for x in ids], pa.string())] if decode else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), *texts], names)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decode else ""))
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:

@@ -15,11 +15,12 @@ that `split` leaves between them. Offsets are code points, ends exclusive. Null
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfield.llm.common import once, running
+
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0_"
 SIGNS = "+/_=-"
@@ -43,22 +44,6 @@ WORDS = (
 SPAN = "struct<start:long,k:int,end:long,kind:string>"
 
 
-def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """values combined with all before them, by doubling: in round k each takes in the one 2^k places before, so n log n steps."""
-    rounds = F.slice(F.sequence(F.lit(0), F.lit(30)), F.lit(1), F.when(F.size(values) > 1, F.length(F.bin(F.size(values) - 1))).otherwise(0))
-
-    def step(s: Column, k: Column) -> Column:
-        shift = F.least(F.call_function("shiftleft", F.lit(1), k), F.size(s))
-        return F.zip_with(s, F.concat(F.array_repeat(zero, shift), F.slice(s, F.lit(1), F.size(s) - shift)), combine)
-
-    return F.aggregate(rounds, values, step)
-
-
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def matches(text: Column, pattern: str, when: Column, kind: str, secret_group: int = 0, least: int = 0, keep: bool = False) -> Column:
     """array<struct<start, k, end, kind>> of a pattern's matches, where `when` holds; k: the kind's number.
 

@@ -212,15 +212,16 @@ def hexed(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id (of repeated ids, the smallest text hash; of equal rows, one).
+    """docs with one row of each class: that of the smallest doc_id (of repeated ids, the smallest text hash; of rows equal in both, the one whose JSON is smallest).
 
     A class whose ids are all null keeps one row the same way. Other columns pass through, whatever their names.
     """
     found = stored(classes(docs).select("doc_id", "h", "fp", F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("n")), "classes")
     keep = found.groupBy("c", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
     repeated = not found.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
-    if repeated:  # equal ids and texts: one row of each, by all columns
-        docs = docs.dropDuplicates(["doc_id", "text"])
+    if repeated:  # equal ids and texts: the row that is first as JSON, aggregated map-side
+        row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        docs = row.groupBy(F.col("row.doc_id").cast("long").alias("i"), F.xxhash64(F.col("row.text").cast("string")).alias("h")).agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row")).select("row.*")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(keep, rows["row.doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (F.xxhash64(rows["row.text"].cast("string")) == keep["h"]), "left_semi")
     return kept.select("row.*")
