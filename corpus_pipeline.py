@@ -1,7 +1,14 @@
 """A training-corpus pipeline in five stages, each over all rows that the one before kept.
 
 Stages 1 to 4 return the columns of documents, whatever they are; the last returns token ids. Each result
-is written to the shared folder and read again, so a lost executor costs one stage at most.
+is written to the shared folder and read again, so a lost executor costs one stage at most; what a stage stores on its
+way is deleted once its result is written.
+
+Nulls, ties and repeats: null texts are empty texts. quality_rules drops them (no words) and keeps or drops
+repeated rows together. near_duplicates keeps the row of the smallest id (of equal ids the smallest text hash, of rows equal in
+both the one whose JSON is smallest); null ids come last. decontamination and pii treat repeated rows alike, and pii masks
+texts of any length; null columns pass. sentencepiece gives a row for each row, null ids included. Empty tables
+give empty tables; further columns pass through stages 1 to 4 whatever their names.
 
 ORACLE_SQL is None: SQL can't express the divergence verdict, the field or the encoder. The stages are tested against
 brute-force versions in tests/llm.
@@ -12,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfield.llm.common import stored, table
+from docfield.llm.common import MADE, release, stored, table
 from docfield.llm.divergence import keep_good
 from docfield.llm.phrases import drop_contaminated
 from docfield.llm.pieces import encode_documents
@@ -41,10 +48,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens of each document; decoding gives its text back."""
+    """doc_id, ids, n_tokens of each document."""
     import public_tokenizers
 
-    coded = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    coded = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), decode=False)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
@@ -55,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        first = len(MADE)
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, first, keep=1)  # what the stage stored on its way
     return docs
