@@ -389,11 +389,12 @@ def test_chat_round_trip(spark):
     assert format_conversations(frame.where("1 = 0")).count() == 0
 
 
-def test_chat_query_is_its_sql(spark):
+@pytest.mark.parametrize("name", ["op5_decontaminate", "op10_chat"])
+def test_queries_are_their_sql(spark, name):
     from docfield.llm.queries import ORACLE_SQL, QUERIES
     from tests.oracle import differences
 
-    assert differences(spark, QUERIES["op10_chat"], ORACLE_SQL["op10_chat"], SF) == []
+    assert differences(spark, QUERIES[name], ORACLE_SQL[name], SF) == []
 
 
 # --- the pipeline -------------------------------------------------------------------------------------
