@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfield.functions.values import comparable, is_iso_date, loose_number
+from docfield.functions.values import comparable, is_iso_date, loose_number, nfkc_items
 
 MATCH_TYPES = ("string_exact", "string_contains", "string_contains_any", "number_exact", "date_exact", "array_string_subset", "array_date_exact", "array_number_exact", "not_found")
 
@@ -33,10 +33,11 @@ def matched(cases: DataFrame, ascii_only: bool = False) -> DataFrame:
     Columns: expected_found, found (booleans), match_type, expected and pred (arrays of text; one for scalars), expected_any (array).
     Date arrays are compared as sets with repeats, number arrays in order, string arrays by containment either way.
     """
-    norm = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: comparable(x, ascii_only))
-    if not ascii_only:  # Python functions can't run inside array functions: normalise before
-        raise ValueError("apply nfkc to the texts first, then match with ascii_only")
-    e, p, a = norm(F.col("expected")), norm(F.col("pred")), norm(F.col("expected_any"))
+    form = (lambda xs: xs) if ascii_only else nfkc_items  # one Arrow function for each array, as Python can't run inside array functions
+    named = {"_expected": "expected", "_pred": "pred", "_any": "expected_any"}
+    cases = cases.withColumns({new: form(F.col(old)) for new, old in named.items()})
+    norm = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: comparable(x, ascii_only=True))
+    e, p, a = norm(F.col("_expected")), norm(F.col("_pred")), norm(F.col("_any"))
     first = lambda xs: F.coalesce(F.get(xs, F.lit(0)), F.lit(""))
     m = F.col("match_type")
     numbers = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<string>")), loose_number)
@@ -48,7 +49,7 @@ def matched(cases: DataFrame, ascii_only: bool = False) -> DataFrame:
         .when(m == "array_date_exact", F.array_sort(p) == F.array_sort(e))
         .when(m == "array_number_exact", F.coalesce(numbers(F.col("pred")) == numbers(F.col("expected")), F.lit(False))).otherwise(False)
     )
-    return cases.withColumn("match_pass", F.when(F.col("expected_found") != F.col("found"), False).when(~F.col("expected_found"), True).otherwise(ok))
+    return cases.withColumn("match_pass", F.when(F.col("expected_found") != F.col("found"), False).when(~F.col("expected_found"), True).otherwise(ok)).drop(*named)
 
 
 def summary(rows: DataFrame) -> DataFrame:
