@@ -13,7 +13,7 @@ from docfield.functions import features as ff
 from docfield.functions import lines as fl
 from docfield.functions import values as fv
 from docfield.operators import answers, chunks, evaluation, ocr, pages, ranking
-from docfield.operators.store import stored
+from docfield.operators.store import fresh_path, stored
 from docfield.plans import fixtures as fx
 from docfield.plans import service, sql
 from docfield.sources import files
@@ -216,8 +216,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 asked AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({sql.tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT item_id, doc_id, chunk_idx, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (doc_id, chunk_idx), st GROUP BY item_id, doc_id, chunk_idx) {_TOP}""")
 def bm25_topk(spark, sf_dir):
-    rows = stored(ranking.with_length(text_chunks(_table(spark, sf_dir, "documents"))), "chunks").withColumn("scope", F.lit(1))
-    return _top(ranking.bm25_scores(rows, _asked(spark, sf_dir), ["scope"], ["doc_id", "chunk_idx"]), "bm25")
+    found = ranking.bm25_topk(text_chunks(_table(spark, sf_dir, "documents")), _asked(spark, sf_dir), ["doc_id", "chunk_idx"], 5)
+    return found.withColumnRenamed("request_id", "item_id")
 
 
 def _grams(x: str) -> str:
@@ -275,7 +275,7 @@ scores AS (SELECT *, round(0.34 * combined + 0.18 * bm25_norm + 0.16 * semantic_
 
 
 def _hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.base_scores(chunks.chunk_pages(contract_pages(spark, sf_dir)), fx.requests(spark, sf_dir), ["doc_id"], ["page_num", "chunk_idx"])
+    return ranking.base_scores(stored(chunks.chunk_pages(contract_pages(spark, sf_dir)), "chunks"), fx.requests(spark, sf_dir), ["doc_id"], ["page_num", "chunk_idx"])
 
 
 @query(f"WITH {_HYBRID} SELECT request_id, chunk_id, page_num, section_hint, bm25_norm::DOUBLE AS bm25_norm, semantic_norm::DOUBLE AS semantic_norm, token_overlap, hint_overlap, phrase, page, recital, rerank::DOUBLE AS rerank, {sql.junk('text')} AS junk, text FROM scores")
@@ -311,7 +311,7 @@ _LIT = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") +
 
 
 @query(f"""WITH {_CHUNKS}, req AS ({fx.requests_sql()}), ev AS (SELECT doc_id, string_agg('Chunk ID: ' || chunk_id || chr(10) || 'Page: ' || page_num || CASE WHEN coalesce(section_hint, '') <> '' THEN chr(10) || 'Section: ' || section_hint ELSE '' END || chr(10) || 'Text:' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_num, chunk_idx) AS ev FROM chunk GROUP BY doc_id)
-SELECT request_id, {_LIT(answers.INSTRUCTIONS)} || chr(10) || chr(10) || 'Query: ' || query || chr(10) || 'Output type: ' || output_type || chr(10) || chr(10) || {_LIT(answers.RULES)} || chr(10) || chr(10) || CASE WHEN request_id % 3 = 0 THEN 'Few-shot examples:' || chr(10) || 'Example 1' || chr(10) || 'Input:' || chr(10) || '{{"q": 1}}' || chr(10) || 'Output:' || chr(10) || '{{"v": 2}}' || chr(10) || chr(10) ELSE '' END || 'Evidence:' || chr(10) || ev AS prompt FROM req JOIN ev USING (doc_id)""")
+SELECT request_id, {_LIT(answers.INSTRUCTIONS)} || chr(10) || chr(10) || 'Query: ' || query || chr(10) || 'Output type: ' || output_type || chr(10) || chr(10) || {_LIT(answers.RULES)} || chr(10) || chr(10) || CASE WHEN request_id % 3 = 0 THEN 'Few-shot examples:' || chr(10) || 'Example 1' || chr(10) || 'Input:' || chr(10) || '{{' || chr(10) || '  "q": 1' || chr(10) || '}}' || chr(10) || 'Output:' || chr(10) || '{{' || chr(10) || '  "v": 2' || chr(10) || '}}' || chr(10) || chr(10) ELSE '' END || 'Evidence:' || chr(10) || ev AS prompt FROM req JOIN ev USING (doc_id)""")
 def prompt_build(spark, sf_dir):
     rows = chunks.chunk_pages(contract_pages(spark, sf_dir)).withColumn("rank", F.col("page_num") * 1000 + F.col("chunk_idx"))
     req = fx.requests(spark, sf_dir)
@@ -423,15 +423,61 @@ def contract_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.extract(contract_pages(spark, sf_dir), fx.requests(spark, sf_dir, 50), lambda prompts: answers.replayed(prompts, recorded), as_of=AS_OF)
 
 
-_CODE = "CASE doc_id % 20 WHEN 3 THEN 'LLM_ERROR' WHEN 5 THEN 'SERVICE_ERROR' WHEN 9 THEN CASE doc_id % 4 WHEN 1 THEN 'WEAK_EVIDENCE' END WHEN 11 THEN 'SERVICE_ERROR' WHEN 13 THEN 'SERVICE_ERROR' WHEN 15 THEN 'VALIDATION_FAILED' END"
+_CODE = "CASE doc_id % 20 WHEN 3 THEN 'LLM_ERROR' WHEN 5 THEN 'SERVICE_ERROR' WHEN 9 THEN CASE doc_id % 4 WHEN 1 THEN 'WEAK_EVIDENCE' END WHEN 11 THEN 'SERVICE_ERROR' WHEN 13 THEN 'SERVICE_ERROR' WHEN 15 THEN 'SERVICE_ERROR' END"
 _VALUE = "CASE doc_id % 4 WHEN 0 THEN amount::VARCHAR WHEN 1 THEN n_name WHEN 2 THEN CASE WHEN day(signed::DATE) <= 12 THEN strftime(signed::DATE, '%Y-%d-%m') ELSE signed END ELSE c_name || ';' || person END"
 
 
-@query(f"""SELECT doc_id AS request_id, ok AS found, code AS error_code, CASE WHEN ok THEN {_VALUE} END AS value, CASE WHEN NOT ok THEN 0 WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END AS n_sources
-FROM (SELECT *, {_CODE} AS code, ({_CODE}) IS NULL AND doc_id % 20 <> 7 AS ok FROM ({fx.truth_sql()}))""")
+_VARIANTS = f"va AS (SELECT doc_id AS request_id, CASE doc_id % 4 WHEN 0 THEN ['rs. ' || amount_text, amount::VARCHAR] WHEN 1 THEN [lower(n_name)] WHEN 2 THEN list_distinct([signed, {_VALUE}]) ELSE [] END AS variants FROM ({fx.truth_sql()}))"
+_CITED = "cited AS (SELECT * FROM (VALUES (0, 1, 1, 3), (1, 1, 2, 2), (2, 1, 2, 4), (2, 2, 1, 1), (3, 1, 1, 2)) AS v(kind, place, page_num, chunk_idx))"
+_CITED_SNIPPETS = _SNIPPETS.replace("ps AS (", f"{_VARIANTS}, {_CITED}, ps AS (", 1).replace(", 6) AS score FROM ps)", " + 2.0 * len(list_filter(variants, lambda v: contains(low, v))), 6) AS score FROM ps JOIN va USING (request_id))")
+
+
+@query(f"""WITH {_CITED_SNIPPETS} SELECT doc_id AS request_id, ok AS found, code AS error_code, CASE WHEN ok THEN {_VALUE} END AS value, CASE WHEN ok THEN src ELSE '' END AS sources
+FROM (SELECT *, {_CODE} AS code, ({_CODE}) IS NULL AND doc_id % 20 <> 7 AS ok FROM ({fx.truth_sql()}) t
+  LEFT JOIN (SELECT request_id, string_agg(page_num || ':' || snippet, '|' ORDER BY c.place) AS src FROM sn JOIN cited c USING (page_num, chunk_idx) WHERE request_id % 4 = c.kind GROUP BY request_id) s ON s.request_id = t.doc_id)""")
 def extract_service(spark, sf_dir):
     out = contract_responses(spark, sf_dir)
-    return out.select("request_id", "found", "error_code", F.array_join("value", ";").alias("value"), F.size("sources").alias("n_sources"))
+    shown = F.transform("sources", lambda s: F.concat(s["page"].cast("string"), F.lit(":"), s["snippet"]))
+    return out.select("request_id", "found", "error_code", F.array_join("value", ";").alias("value"), F.array_join(shown, "|").alias("sources"))
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------
+
+
+def _lines_as_blocks(content: bytes) -> list[tuple]:
+    """A parser of plain text: five lines a page, a block for each line, a table beside the first."""
+    lines = content.decode().split("\n")
+    return [(n // PAGE_LINES + 1, n % PAGE_LINES, 0.0, float(n % PAGE_LINES), line, [[[str(len(line)), " x "], [None, ""]]] if n % PAGE_LINES == 0 else None) for n, line in enumerate(lines)]
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, n // {PAGE_LINES} + 1 AS page_num, n % {PAGE_LINES} AS block_no, line AS text, CASE WHEN n % {PAGE_LINES} = 0 THEN length(line) || ' | x' ELSE '' END AS table_text, NULL AS error FROM ({_DOC_LINES}) WHERE doc_id % 50 <> 0
+UNION ALL SELECT doc_id::VARCHAR, NULL, NULL, NULL, '', 'failed to parse: the document is empty' FROM documents WHERE doc_id % 50 = 0""")
+def parsed_blocks(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 50 != 0, F.encode("text", "UTF-8")).alias("content"))
+    out = files.parsed_documents(docs, _lines_as_blocks)
+    return out.select("doc_id", "page_num", "block_no", "text", pages.table_text(F.get("tables", F.lit(0))).alias("table_text"), "error")
+
+
+@query("SELECT label AS crop_id, 777 AS img_width, count(*) AS n_steps, NULL::VARCHAR AS gt FROM embeddings GROUP BY label")
+def softmax_source(spark, sf_dir):
+    path = fresh_path(spark, "softmax")
+    fx.ocr_crops(spark, sf_dir).withColumn("gt", F.lit(None).cast("string")).write.parquet(path)
+    return files.softmax_crops(spark, path).select("crop_id", "img_width", F.size("softmax").alias("n_steps"), "gt")
+
+
+_RESULT = "event_id AS case_id, concat('doc', cast(event_id % 7 AS VARCHAR(10))) AS doc_name, concat('say \"', cast(event_id AS VARCHAR(20)), '\", twice') AS query, 'string' AS output_type, event_id % 2 = 0 AS expected_found, 'path' AS input_mode, event_id % 3 = 0 AS used_examples, event_id % 5 <> 0 AS match_pass, true AS found_match, event_id % 11 <> 0 AS type_valid, true AS source_valid, 0.25 AS latency_sec"
+
+
+@query(f"SELECT kind, case_id::VARCHAR AS case_id, doc_name, query, expected_found, used_examples, match_pass, type_valid FROM (SELECT {_RESULT} FROM events), (SELECT unnest(['csv', 'json', 'parquet']) AS kind)")
+def result_sinks(spark, sf_dir):
+    rows, out = spark.sql(f"SELECT {_RESULT} FROM {{events}}", events=_table(spark, sf_dir, "events")), None
+    for kind in ("csv", "json", "parquet"):
+        path = fresh_path(spark, f"results-{kind}")
+        files.write_results(rows, path, kind)
+        back = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {})).load(path)
+        part = back.select(F.lit(kind).alias("kind"), F.col("case_id").cast("string").alias("case_id"), "doc_name", "query", *[F.col(c).cast("boolean").alias(c) for c in ("expected_found", "used_examples", "match_pass", "type_valid")])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NO_FILE' WHEN event_id % 7 = 1 THEN 'NO_QUERY' WHEN event_id % 7 = 2 THEN 'INVALID_OUTPUT_TYPE' WHEN event_id % 7 = 3 THEN 'BAD_EXAMPLES_JSON' WHEN event_id % 7 = 4 THEN 'BAD_EXAMPLES' END AS request_error FROM events""")

@@ -93,9 +93,9 @@ def test_responses(spark):
     given = ['```json\n{"value": 1, "found": true, "evidence_chunk_ids": ["c1"]}\n```', '{"value": 1, "found": false, "evidence_chunk_ids": []}', '{"found": 1}', "[1]", "no", '{"found": false, "evidence_chunk_ids": ["c9"]}', '{"found": true, "value": {"a": 1}, "evidence_chunk_ids": ["c1"]}']
     rows = spark.createDataFrame([(i, t, "number") for i, t in enumerate(given)], "i int, response_text string, output_type string")
     out = answers.validated(answers.parsed_responses(rows, F.array(F.lit("c1")))).orderBy("i").collect()
-    assert [r.parse_error is None for r in out] == [True, True, False, False, False, False, True]
+    assert [r.parse_error is None for r in out] == [True, True, False, False, False, False, False]
     assert out[0].normalized == ["1"] and out[0].ids == ["c1"] and out[1].ids == [] and out[1].value_kind == "null"
-    assert out[6].value_error == "value does not fit its type"
+    assert out[6].parse_error == "value is neither a scalar nor a list of scalars"
 
 
 def test_booleans_are_numbers_in_answers(spark):
@@ -189,3 +189,137 @@ def test_streaming_equals_batch(spark, tmp_path):
     stream = ingest.document_stream(spark, str(tmp_path / "in"), docs.schema)
     ingest.write_chunks(stream, str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, ingest.text_chunks(docs).collect()))
+
+
+# --- requests with examples, values the model may not give, plug-ins ------------------------------------
+
+
+def test_examples_reach_the_prompt(spark):
+    body = "1. PREMIUM Total premium payable is Rs. 443 for the first year of this policy, as agreed between both."
+    pages_ = spark.createDataFrame([(1, 1, body, [], "")], "doc_id long, page_num int, body_text string, table_texts array<string>, residual_text string")
+    shots = '[{"input": {"b": "é", "a": 1}, "output": ["x"]}]'
+    rows = [(1, 1, "total premium", "number", shots), (2, 1, "total premium", "number", None), (3, 1, "total premium", "number", "[1,"), (4, 1, "total premium", "number", "{}"), (5, 1, " ", "number", None), (6, 1, "x", "text", None), (7, None, "x", "date", None)]
+    requests = spark.createDataFrame(rows, "request_id long, doc_id long, query string, output_type string, examples string")
+    seen = []
+
+    def respond(prompts):
+        seen.extend(prompts.collect())
+        return prompts.select("request_id", F.lit('{"value": 443, "found": true, "evidence_chunk_ids": ["p1_c1"]}').alias("response_text"), F.lit(None).cast("string").alias("llm_error"))
+
+    out = {r.request_id: r for r in service.extract(pages_, requests, respond).collect()}
+    prompts = {r.request_id: r.prompt for r in seen}
+    assert set(prompts) == {1, 2} and "Few-shot" not in prompts[2]
+    assert 'Few-shot examples:\nExample 1\nInput:\n{\n  "b": "é",\n  "a": 1\n}\nOutput:\n[\n  "x"\n]\n\nEvidence:' in prompts[1]
+    assert [out[i].error_code for i in range(1, 8)] == [None, None, "BAD_EXAMPLES_JSON", "BAD_EXAMPLES", "NO_QUERY", "INVALID_OUTPUT_TYPE", "NO_FILE"]
+    assert out[1].value == ["443"] and "top_k" not in requests.columns
+
+
+def test_values_that_are_no_scalars(spark):
+    values = ['{"a": 1}', "[1, null]", '[{"a": 1}]', "[[1]]", "[]", "[1, true]", "null"]
+    rows = spark.createDataFrame([(i, f'{{"found": {f}, "value": {v}, "evidence_chunk_ids": []}}', "array[number]") for f in ("true", "false") for i, v in enumerate(values, 100 * (f == "false"))], "i int, response_text string, output_type string")
+    out = {r.i: r for r in answers.validated(answers.parsed_responses(rows, F.array(F.lit("c1")))).collect()}
+    assert [out[i].parse_error is None for i in range(7)] == [False] * 4 + [True] * 3
+    assert all(out[100 + i].parse_error is None and out[100 + i].found is False for i in range(7))
+    assert out[5].normalized == ["1", "1.0"] and out[4].normalized == []
+
+
+def test_matches_in_compatibility_form(spark):
+    rows = spark.createDataFrame([(True, True, "string_exact", ["ﬁne １２"], None, ["Fine 12"]), (True, True, "array_string_subset", ["Ⅳ", "b"], None, ["iv x", "B"]), (True, True, "string_contains_any", ["a"], ["ﬂat"], ["the FLAT one"]), (True, True, "string_exact", None, None, [None])], "expected_found boolean, found boolean, match_type string, expected array<string>, expected_any array<string>, pred array<string>")
+    assert [r.match_pass for r in evaluation.matched(rows).collect()] == [True, True, True, True]
+
+
+def test_an_encoder_in_the_hybrid(spark):
+    from docfield.operators import ranking
+
+    chunks_ = spark.createDataFrame([(1, 1, 1, "p1_c1", "alpha beta", None, [1.0, 0.0]), (1, 1, 2, "p1_c2", "gamma delta", None, [0.6, 0.8])], "doc_id long, page_num int, chunk_idx int, chunk_id string, text string, section_hint string, embedding array<double>")
+    asked = spark.createDataFrame([(7, 1, "nothing shared", 1, [0.0, 2.0])], "request_id long, doc_id long, query string, top_k int, embedding array<double>")
+    key = ["page_num", "chunk_idx"]
+    meaning = ranking.dense_scores(chunks_, asked, ["doc_id"], key)
+    assert sorted((r.chunk_idx, round(r.semantic, 6)) for r in meaning.collect()) == [(1, 0.0), (2, 0.8)]
+    scores = ranking.base_scores(chunks_, asked, ["doc_id"], key, semantic=meaning)
+    assert [r.chunk_id for r in ranking.hybrid_topk(scores, key).collect()] == ["p1_c2"]
+
+
+def test_bm25_topk_is_the_joined_ranking(spark):
+    import random
+
+    from docfield.operators import ranking
+
+    r = random.Random(3)
+    rows = [(n // 3, n % 3, " ".join(r.choice(["aa", "bb", "cc", "dd", "ee", "the"]) for _ in range(r.randint(0, 9)))) for n in range(200)]
+    asked = [(n, " ".join(r.choice(["aa", "bb", "cc", "zz", "the"]) for _ in range(r.randint(0, 4)))) for n in range(25)]
+    chunks_ = spark.createDataFrame(rows, "doc_id long, chunk_idx int, text string").repartition(3)
+    requests = spark.createDataFrame(asked, "request_id long, query string").withColumn("scope", F.lit(1))
+    scores = ranking.bm25_scores(ranking.with_length(chunks_).withColumn("scope", F.lit(1)), requests, ["scope"], ["doc_id", "chunk_idx"]).collect()
+    want = {}
+    for s in scores:
+        want.setdefault(s.request_id, []).append((-round(s.bm25, 6), s.doc_id, s.chunk_idx))
+    for size in (1000, 7):
+        got = {}
+        for x in sorted(ranking.bm25_topk(chunks_, requests.drop("scope"), ["doc_id", "chunk_idx"], 5, block_rows=size).collect(), key=lambda x: x["rank"]):
+            got.setdefault(x.request_id, []).append((-x.score, x.doc_id, x.chunk_idx))
+        assert got == {k: sorted(v)[:5] for k, v in want.items()}
+    assert ranking.bm25_topk(chunks_.limit(0), requests.drop("scope"), ["doc_id", "chunk_idx"], 5).count() == 0 and ranking.bm25_topk(chunks_, requests.drop("scope").limit(0), ["doc_id", "chunk_idx"], 5).count() == 0
+
+
+def test_date_shapes_are_the_ladder(spark):
+    from docfield.functions import values as fv
+
+    texts = ["2024-03-05", "2024-13-05", "2024-05-13", "2024-31-12", "5/3/2024", "13/5/2024", "5/13/2024", "31/31/2024", "5/3/24", "5 Mar 2024", "5 March 2024", "March 5, 2024", "5th of March", "1st May 2024", "May 1st, 2024", "2024", "5 Foo 2024", "", None, "2024-02-30", "30/2/2024", "5 May 2024"]
+    ladder = ("yyyy-dd-MM", "yyyy-MM-dd", "d/M/yyyy", "M/d/yyyy", "d/M/yy", "d MMM yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+    x = F.col("t")
+    naive = lambda formats: F.date_format(F.coalesce(*[F.try_to_date(fv.date_text(x), f) for f in formats]), "yyyy-MM-dd")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fv.date_iso(x).alias("a"), naive(ladder).alias("b"), fv.date_iso(x, strict_iso=True).alias("c"), naive(("yyyy-MM-dd", *ladder[2:])).alias("d")).collect()
+    assert [(r.t, r.a) for r in rows] == [(r.t, r.b) for r in rows] and [(r.t, r.c) for r in rows] == [(r.t, r.d) for r in rows]
+
+
+def test_fuzzy_dates_and_normal_forms_by_another_way(spark):
+    import unicodedata
+
+    from dateutil import parser
+
+    from docfield.plans import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    orders = {r.o_orderkey: r.o_orderdate for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate")).collect()}
+    for r in q.QUERIES["fuzzy_date"](spark, sf).collect():
+        assert r.iso == parser.parse(f"{orders[r.o_orderkey]:%d %B %Y}").date().isoformat()
+    out = spark.createDataFrame([("ﬁ Ａ ①",), (None,), ("é",)], "t string").select("t", __import__("docfield.functions.values", fromlist=["nfkc"]).nfkc(F.col("t")).alias("n")).collect()
+    assert [r.n for r in out] == [None if r.t is None else unicodedata.normalize("NFKC", r.t) for r in out]
+
+
+class EchoModel:
+    def generate(self, prompt):
+        return '{"value": "Rs. 443", "found": true, "evidence_chunk_ids": ["p1_c1"]}'
+
+
+def plain_parser(content):
+    return [(1, 0, 0.0, 0.0, content.decode(), [[["Plan", "Gold"]]])]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from docfield import cli
+
+    path = tmp_path / "a.txt"
+    path.write_text("1. PREMIUM Total premium payable is Rs. 443 for the first year of this policy, as agreed between both.")
+    base = ["--query", "total premium", "--parser", "tests.test_vectors:plain_parser", "--model", "tests.test_vectors:EchoModel"]
+    run = lambda *more: (cli.main([*base, *more]), json.loads(capsys.readouterr().out))
+    code, out = run("--pdf", str(path), "--output-type", " Number ")
+    assert code == 0 and out["value"] == 443 and out["found"] and out["sources"][0]["page"] == 1 and out["error"] is None
+    assert run("--document", str(tmp_path / "no"), "--output-type", "date")[1]["error"]["code"] == "FILE_NOT_FOUND"
+    assert run("--document", str(path), "--output-type", "text")[1]["error"]["code"] == "INVALID_OUTPUT_TYPE"
+    code, out = run("--document", str(path), "--output-type", "date", "--model", "tests.test_vectors:Nothing")
+    assert code == 1 and out["error"]["code"] == "CLI_ERROR"
+    (tmp_path / "bad.txt").write_bytes(b"\xff")
+    assert run("--document", str(tmp_path / "bad.txt"), "--output-type", "date")[1]["error"]["code"] == "SERVICE_ERROR"
+
+
+def test_stored_folders_go(spark):
+    from docfield.operators import store
+
+    rows = store.stored(spark.range(3), "three")
+    assert rows.count() == 3 and store.MADE
+    store.release(spark)
+    assert not store.MADE
