@@ -27,8 +27,8 @@ from docfield.llm.common import Bounded, id_and_text, slices
 SPACE = "▁"
 NORMAL = 1
 #: Entries of a worker's word cache.
-CACHE_WORDS = 500_000
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
 CACHE_TAILS = 50_000
 
 
