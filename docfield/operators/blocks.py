@@ -59,10 +59,10 @@ class TopK:
         self.request, self.score, self.keys = self.request[order], self.score[order], [x[order] for x in self.keys]
         self.least[self.request[last]] = self.score[last]
 
-    def batches(self, ids: list, kinds: list[pa.Field], names: list[str]) -> Iterator[pa.RecordBatch]:
-        """The k best of each request."""
+    def batches(self, ids: list, id_type: pa.DataType, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+        """The k best of each request; kinds: types of the key columns, in order."""
         if not self.request.size:
             return
         self._thin()
-        kind = {f.name: f.type for f in kinds}
-        yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in self.request.tolist()]), *[pa.array(x, kind[n]) for n, x in zip(names, self.keys, strict=True)], pa.array(self.score)], ["request_id", *names, "score"])
+        keys = [pa.array(x, kind) for kind, x in zip(kinds.values(), self.keys, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in self.request.tolist()], id_type), *keys, pa.array(self.score)], ["request_id", *kinds, "score"])

@@ -96,8 +96,13 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth(spark, sf_dir).select(F.col("doc_id").alias("request_id"), F.expr(REPLAY).alias("response_text"))
 
 
-def ocr_crops(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    """crop_id, img_width, softmax: the vectors of one label, in order, are the timesteps of one crop."""
+#: Classes of a timestep: all numbers of a vector. A crop is made of a label's vectors among a thousand successive ones, so that no crop grows with the table.
+OCR_CLASSES = 64
+CROP = "label + 1000 * cast(floor(vec_id / 1000) AS BIGINT)"
+
+
+def ocr_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """crop_id, img_width, softmax: whole vectors, in order, are the timesteps of a crop."""
     e = _tables(spark, sf_dir, "embeddings")["embeddings"]
-    step = F.struct("vec_id", F.slice("embedding", 1, dims).alias("p"))
-    return e.groupBy(F.col("label").alias("crop_id")).agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["p"]).alias("softmax")).withColumn("img_width", F.lit(777))
+    step = F.struct("vec_id", F.col("embedding").alias("p"))
+    return e.groupBy(F.expr(CROP).alias("crop_id")).agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["p"]).alias("softmax")).withColumn("img_width", F.lit(777))

@@ -458,7 +458,7 @@ def parsed_blocks(spark, sf_dir):
     return out.select("doc_id", "page_num", "block_no", "text", pages.table_text(F.get("tables", F.lit(0))).alias("table_text"), "error")
 
 
-@query("SELECT label AS crop_id, 777 AS img_width, count(*) AS n_steps, NULL::VARCHAR AS gt FROM embeddings GROUP BY label")
+@query(f"SELECT {fx.CROP} AS crop_id, 777 AS img_width, count(*) AS n_steps, NULL::VARCHAR AS gt FROM embeddings GROUP BY ALL")
 def softmax_source(spark, sf_dir):
     path = fresh_path(spark, "softmax")
     fx.ocr_crops(spark, sf_dir).withColumn("gt", F.lit(None).cast("string")).write.parquet(path)
@@ -542,8 +542,8 @@ def eval_coverage(spark, sf_dir):
 
 # --- OCR ------------------------------------------------------------------------------------------------
 
-_OCR_SET = ocr.CHARSET[:7]
-_STEPS = """steps AS (SELECT label AS crop_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding[1:8] AS p FROM embeddings),
+_OCR_SET = ocr.CHARSET[: fx.OCR_CLASSES - 1]
+_STEPS = f"""steps AS (SELECT {fx.CROP} AS crop_id, row_number() OVER (PARTITION BY {fx.CROP} ORDER BY vec_id) - 1 AS t, embedding AS p FROM embeddings),
 arg AS (SELECT crop_id, t, list_position(p, list_max(p)) - 1 AS c, list_max(p)::DOUBLE AS best FROM steps), seq AS (SELECT *, lag(c) OVER o AS before, lead(c) OVER o AS after, count(*) OVER (PARTITION BY crop_id) AS n FROM arg WINDOW o AS (PARTITION BY crop_id ORDER BY t))"""
 
 
@@ -551,18 +551,18 @@ def _crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.process(fx.ocr_crops(spark, sf_dir), _OCR_SET)
 
 
-@query(f"WITH {_STEPS} SELECT crop_id, coalesce(string_agg(substring('{_OCR_SET}', c::INT + 1, 1), '' ORDER BY t) FILTER (WHERE c <> 7 AND c IS DISTINCT FROM before), '') AS text FROM seq GROUP BY crop_id")
+@query(f"WITH {_STEPS} SELECT crop_id, coalesce(string_agg(substring('{_OCR_SET}', c::INT + 1, 1), '' ORDER BY t) FILTER (WHERE c <> {fx.OCR_CLASSES - 1} AND c IS DISTINCT FROM before), '') AS text FROM seq GROUP BY crop_id")
 def ctc_decode(spark, sf_dir):
     return _crops(spark, sf_dir).select("crop_id", "text")
 
 
-@query(f"WITH {_STEPS} SELECT crop_id, round(coalesce(exp(avg(ln(greatest(best, 1e-6))) FILTER (WHERE c <> 7 AND c IS DISTINCT FROM before)), 0.0), 6) AS confidence FROM seq GROUP BY crop_id")
+@query(f"WITH {_STEPS} SELECT crop_id, round(coalesce(exp(avg(ln(greatest(best, 1e-6))) FILTER (WHERE c <> {fx.OCR_CLASSES - 1} AND c IS DISTINCT FROM before)), 0.0), 6) AS confidence FROM seq GROUP BY crop_id")
 def ctc_confidence(spark, sf_dir):
     return _crops(spark, sf_dir).select("crop_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {_STEPS}, runs AS (SELECT *, sum(CASE WHEN c IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY crop_id ORDER BY t) AS g FROM seq)
-SELECT crop_id, row_number() OVER (PARTITION BY crop_id ORDER BY min(t)) AS pos, trunc(min(t) * (777 / any_value(n)::DOUBLE))::BIGINT AS x1, trunc((max(t) + 1) * (777 / any_value(n)::DOUBLE))::BIGINT AS x2 FROM runs WHERE c <> 7 GROUP BY crop_id, g""")
+SELECT crop_id, row_number() OVER (PARTITION BY crop_id ORDER BY min(t)) AS pos, trunc(min(t) * (777 / any_value(n)::DOUBLE))::BIGINT AS x1, trunc((max(t) + 1) * (777 / any_value(n)::DOUBLE))::BIGINT AS x2 FROM runs WHERE c <> {fx.OCR_CLASSES - 1} GROUP BY crop_id, g""")
 def ctc_regions(spark, sf_dir):
     rows = _crops(spark, sf_dir).select("crop_id", F.posexplode("regions").alias("pos", "r"))
     return rows.select("crop_id", (F.col("pos") + 1).alias("pos"), "r.x1", "r.x2")

@@ -259,6 +259,8 @@ def test_bm25_topk_is_the_joined_ranking(spark):
         for x in sorted(ranking.bm25_topk(chunks_, requests.drop("scope"), ["doc_id", "chunk_idx"], 5, block_rows=size).collect(), key=lambda x: x["rank"]):
             got.setdefault(x.request_id, []).append((-x.score, x.doc_id, x.chunk_idx))
         assert got == {k: sorted(v)[:5] for k, v in want.items()}
+    named = ranking.bm25_topk(chunks_.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")).alias("doc_id"), "chunk_idx", "text"), requests.select(F.col("request_id").cast("int").alias("request_id"), "query"), ["doc_id", "chunk_idx"], 2)
+    assert sorted((x.request_id, x["rank"], x.doc_id) for x in named.collect()) == sorted((k, n, f"d{x[1]:03}") for k, v in want.items() for n, x in enumerate(sorted(v)[:2], 1))
     assert ranking.bm25_topk(chunks_.limit(0), requests.drop("scope"), ["doc_id", "chunk_idx"], 5).count() == 0 and ranking.bm25_topk(chunks_, requests.drop("scope").limit(0), ["doc_id", "chunk_idx"], 5).count() == 0
 
 
