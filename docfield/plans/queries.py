@@ -44,6 +44,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, task_rows: int = 5_000) -> DataFrame:
+    """Small rows that grow to long texts, dealt to more tasks than their few files would give."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // task_rows))
+    return rows.repartition(n, key)
+
+
 _DOC_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents"
 _CONTRACTS = fx.contract_lines_sql()
 
@@ -158,7 +164,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, n) AS n, text
 
 @query(_OVERSIZED)
 def oversized_clauses(spark, sf_dir):
-    p = _table(spark, sf_dir, "part")
+    p = spread(_table(spark, sf_dir, "part"), "p_partkey")
     key = F.col("p_partkey")
     body = F.repeat(F.concat(F.lit("The buyer keeps all records of "), "p_brand", F.lit(" in good order; ")), (20 + key % 40).cast("int"))
     tail = F.when(key % 2 == 0, F.concat(F.lit("\n(a) "), F.repeat(F.concat(F.lit("as the "), "p_type", F.lit(" was sold. ")), (key % 100).cast("int")), F.lit("\nb. the end"))).otherwise("")

@@ -325,3 +325,33 @@ def test_stored_folders_go(spark):
     assert rows.count() == 3 and store.MADE
     store.release(spark)
     assert not store.MADE
+
+
+def expressions(df, name: str) -> int:
+    """Calls of a function in the optimized plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{name}(")
+
+
+def test_clauses_are_cleaned_once(spark):
+    """A clause's text was cleaned again in every branch that used it: all its characters many times."""
+    rows = spark.createDataFrame([("1. A b\r\n\n\n\nc " + "word word; " * 400 + "\n(a) x\n(b)  y",), (" ",), (None,)], "text string")
+    cut = rows.select(chunks.split_clause(F.col("text")).alias("xs"), F.length("text").alias("n"))
+    got = [r.xs for r in cut.collect()]
+    assert got[0][0].startswith("1. A b\nc word word; word") and got[0][-2:] == ["(a) x", "(b) y"] and got[1:] == [[], None]
+    assert expressions(cut.select("xs"), "repeat") == 0 and cut._jdf.queryExecution().optimizedPlan().toString().count("text#") <= 4
+
+
+def test_word_counts_without_cutting(spark):
+    texts = ["", "a", "a b c", "a b c  d", "one two three four five"]
+    for n in (1, 4):
+        want = [c >= n for c in values(spark, fl.word_count, *texts)]
+        assert values(spark, lambda x, n=n: fl.has_words(fl.strip(x), n), *texts) == want
+
+
+def test_long_clauses_are_dealt_to_many_tasks(spark):
+    """A file of part is small, its clauses are not: one task made and cut all of them."""
+    from docfield.plans import queries
+
+    rows = queries.spread(spark.range(100, numPartitions=1), "id", 10)
+    assert rows.rdd.getNumPartitions() == 10 and sorted(r.id for r in rows.collect()) == list(range(100))
+    assert queries.QUERIES["oversized_clauses"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
