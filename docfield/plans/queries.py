@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from docfield.functions import features as ff
 from docfield.functions import lines as fl
 from docfield.functions import values as fv
-from docfield.operators import answers, chunks, evaluation, ocr, pages, ranking
+from docfield.operators import answers, chunks, documents, evaluation, ocr, pages, ranking
 from docfield.operators.store import fresh_path, stored
 from docfield.plans import fixtures as fx
 from docfield.plans import service, sql
@@ -280,13 +280,13 @@ s3 AS (SELECT *, 0.34 * bm25_norm + 0.34 * semantic_norm + 0.07 * token_overlap
 scores AS (SELECT *, round(0.34 * combined + 0.18 * bm25_norm + 0.16 * semantic_norm + 0.10 * phrase + 0.08 * token_overlap + 0.04 * hint_overlap + 0.03 * page + 0.03 * recital + {sql.label_boost('query', 'section_hint', 'text')} - CASE WHEN {sql.junk('text')} THEN 0.20 ELSE 0.0 END - {sql.size_penalty('text')}, 6) AS rerank FROM s3)"""
 
 
-def _hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.base_scores(stored(chunks.chunk_pages(contract_pages(spark, sf_dir)), "chunks"), fx.requests(spark, sf_dir), ["doc_id"], ["page_num", "chunk_idx"])
+def _hybrid(spark: SparkSession, sf_dir: str, columns: list[str], by: str | None = None) -> DataFrame:
+    return documents.scored(fx.contract_documents(spark, sf_dir), fx.requests(spark, sf_dir), columns, by)
 
 
 @query(f"WITH {_HYBRID} SELECT request_id, chunk_id, page_num, section_hint, bm25_norm::DOUBLE AS bm25_norm, semantic_norm::DOUBLE AS semantic_norm, token_overlap, hint_overlap, phrase, page, recital, rerank::DOUBLE AS rerank, {sql.junk('text')} AS junk, text FROM scores")
 def hybrid_scores_debug(spark, sf_dir):
-    return _hybrid_scores(spark, sf_dir).select("request_id", "chunk_id", "page_num", "section_hint", "bm25_norm", "semantic_norm", "token_overlap", "hint_overlap", "phrase", "page", "recital", "rerank", "junk", "text")
+    return _hybrid(spark, sf_dir, ["request_id", "chunk_id", "page_num", "section_hint", "bm25_norm", "semantic_norm", "token_overlap", "hint_overlap", "phrase", "page", "recital", "rerank", "junk", "text"])
 
 
 @query(f"""WITH {_HYBRID}, k0 AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM scores), k1 AS (SELECT *, greatest(least(CASE WHEN {sql.party('query')} THEN 8 ELSE 5 END, n), 1) AS k FROM k0),
@@ -294,7 +294,7 @@ k2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY bm25_norm D
 k3 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rerank DESC, page_num, chunk_idx) AS rank FROM k2 WHERE rb <= least(n, greatest(16, 4 * k)) OR rs <= least(n, greatest(16, 4 * k)))
 SELECT request_id, chunk_id, rank, rerank::DOUBLE AS rerank FROM k3 WHERE rank <= k""")
 def hybrid_topk(spark, sf_dir):
-    return ranking.hybrid_topk(_hybrid_scores(spark, sf_dir), ["page_num", "chunk_idx"]).select("request_id", "chunk_id", "rank", "rerank")
+    return _hybrid(spark, sf_dir, ["request_id", "chunk_id", "rank", "rerank"], "hybrid")
 
 
 def _single(by: str) -> str:
@@ -303,12 +303,12 @@ def _single(by: str) -> str:
 
 @query(_single("bm25_norm"))
 def bm25_only_topk(spark, sf_dir):
-    return ranking.single_topk(_hybrid_scores(spark, sf_dir), "bm25_norm", ["page_num", "chunk_idx"]).select("request_id", "chunk_id", "rank", F.col("bm25_norm").alias("score"))
+    return _hybrid(spark, sf_dir, ["request_id", "chunk_id", "rank", "bm25_norm"], "bm25_norm").withColumnRenamed("bm25_norm", "score")
 
 
 @query(_single("semantic_norm"))
 def semantic_only_topk(spark, sf_dir):
-    return ranking.single_topk(_hybrid_scores(spark, sf_dir), "semantic_norm", ["page_num", "chunk_idx"]).select("request_id", "chunk_id", "rank", F.col("semantic_norm").alias("score"))
+    return _hybrid(spark, sf_dir, ["request_id", "chunk_id", "rank", "semantic_norm"], "semantic_norm").withColumnRenamed("semantic_norm", "score")
 
 
 # --- prompts, responses, values -------------------------------------------------------------------------
