@@ -425,8 +425,8 @@ def passage_snippets(spark, sf_dir):
 
 
 def contract_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recorded = fx.replay(spark, sf_dir)
-    return service.extract(contract_pages(spark, sf_dir), fx.requests(spark, sf_dir, 50), lambda prompts: answers.replayed(prompts, recorded), as_of=AS_OF)
+    asked = fx.requests(spark, sf_dir, 50).join(fx.replay(spark, sf_dir).withColumnRenamed("response_text", "replay"), "request_id", "left")
+    return service.extract_documents(fx.contract_documents(spark, sf_dir), asked, lambda rows: answers.recorded(rows, "replay"), as_of=AS_OF)
 
 
 _CODE = "CASE doc_id % 20 WHEN 3 THEN 'LLM_ERROR' WHEN 5 THEN 'SERVICE_ERROR' WHEN 9 THEN CASE doc_id % 4 WHEN 1 THEN 'WEAK_EVIDENCE' END WHEN 11 THEN 'SERVICE_ERROR' WHEN 13 THEN 'SERVICE_ERROR' WHEN 15 THEN 'SERVICE_ERROR' END"
